@@ -26,7 +26,7 @@ TREES, BITS = 24, 32
 #: Vectors of a shard, about, and queries that a shard takes at once.
 SHARD, QUERY_BLOCK = 8192, 1024
 #: Share of a shard's vectors that a query is measured against at least; recall by brute force in the tests.
-CANDIDATES = 0.6
+CANDIDATES = 0.75
 _SAMPLE = 2048
 
 
@@ -106,7 +106,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, candidates:
             out = []
             if forest is not None and waiting:
                 q = np.array([v for _, v in waiting], np.float64)
-                enough = max(int(candidates * len(ids)), 20 * k)
+                enough = max(int(candidates * len(ids)), 50 * k)
                 for (name, _), x, found in zip(waiting, q, forest.candidates(q, enough), strict=True):
                     d = np.sqrt(((forest.x[found] - x) ** 2).sum(1))
                     if len(d) > k + 1:

@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             _INDEX[stamp] = m.index()
         index = _INDEX[stamp]
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(text_at)
             data, offsets = text_buffer(texts)
             bits = m.code_lengths(data, offsets, index)
             some = np.concatenate([[0], np.cumsum(_LETTER[data])])[offsets]
@@ -249,11 +249,14 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 names[~letters] = "und"
             else:
                 names, scores = np.full(len(bits), "und", object), np.zeros(len(bits))
-            yield pa.record_batch([*b.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(scores)], [*b.schema.names[:-1], "lang_pred", "score"])
-
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text")).mapInArrow(run, schema)
+            yield pa.record_batch([*b.columns[: len(keep)], pa.array(names.tolist(), pa.string()), pa.array(scores)], [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
+
+    # names of our own inside, so that columns called like ours do no harm; the text goes once
+    schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["__lang string", "__score double"])
+    more = [] if text_col in keep else [docs[text_col].alias("text")]
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    out = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *more).mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in ("lang_pred", "score")], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def identify(docs: DataFrame, learn: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     keep = [id_col] if keep is None else keep
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = 4 * parts
-    kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
+    kept = [(F.lit(None).cast(docs.schema[c].dataType) if c == text_col else docs[c]).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text", *[f"k{i}" for i in range(len(keep))]), F.lit(chunks)).cast("int"))
     # The one shuffle of texts; all three readers below share it.
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 shas.append(hashlib.sha256(out).hexdigest())
                 if with_text:
                     left.append(out.decode() if texts[i + d].is_valid else None)
-        columns = [t.column(f"k{k}") for k in range(len(keep))] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
+        columns = [texts if c == text_col else t.column(f"k{k}") for k, c in enumerate(keep)] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
         names = [f"k{k}" for k in range(len(keep))] + ["n_words", "n_removed", "kept_sha256"]
         if with_text:
             columns.append(pa.array(left, pa.string()))

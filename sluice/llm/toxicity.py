@@ -104,7 +104,7 @@ class Index:
         self.most = self.most.reshape(n_terms, self.blocks)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the `k` nearest, nearest first, ties by number."""
+        """Examples and cosines of the `k` nearest and all as near as the last of them, nearest first."""
         bound = weight @ self.most[term]
         order = np.argsort(-bound, kind="stable")
         ids, scores, worst, at, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 8
@@ -120,11 +120,11 @@ class Index:
             new = new[(new < self.n) & (new != without)]
             ids, scores = np.concatenate([ids, new]), np.concatenate([scores, total[new]])
             if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-                worst = scores[-1]
+                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                good = scores >= worst - 1e-12
+                ids, scores = ids[good], scores[good]
             at += step
-        best = np.lexsort((ids, -scores))[:k]
+        best = np.lexsort((ids, -scores))
         return ids[best], scores[best]
 
 
