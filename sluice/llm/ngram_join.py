@@ -8,8 +8,10 @@ whose length the total bounds.
 
 Sets that share a prefix n-gram are brought together, and pass the length filter
 and the positional filter, which bounds the overlap by what precedes and follows
-the shared n-gram in both.  A suffix filter compares what follows it by halves, and
-each pair that is left is verified once on whole sets.
+the shared n-gram in both.  Each set also has a small bitmap of parities: two sets
+differ in at least as many n-grams as their bitmaps in bits, so most pairs end there,
+before whole sets are sent.  A suffix filter compares the sets by halves, and each
+pair that is left is verified once on whole sets.
 
 A group of thousands of near copies would make a pair for each two of them.  So
 pairs are verified in two steps: first each set with its neighbours in each list of
@@ -39,6 +41,8 @@ COUNTERS = 1 << 16
 FREQUENT = 1 << 20
 #: Rows of candidates up to which their ids are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of a set's bitmap.
+BITMAP = 1024
 #: Entries of a list that one set is verified with, before and after it, in the first step.
 NEIGHBOURS = 2
 
@@ -57,6 +61,12 @@ def signature(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For each of BITMAP hash slots, whether an odd number of n-grams falls in it."""
+    slots = np.bincount((grams & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
+    return np.packbits((slots & 1).astype(bool)).tobytes()
+
+
 def merged(h: np.ndarray, c: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters with the n-grams `new` added; if more than `most` are left, all give up the count of the first one too many."""
     if len(new):
@@ -92,14 +102,15 @@ def _describe(n: int, fold: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        names = ["doc_id", "size", "sig", "grams", "counts"]
+        names = ["doc_id", "size", "sig", "bits", "grams", "counts"]
         none = pa.nulls(1, pa.binary())
         seen: set[bytes] = set()
         for b in batches:
-            sizes, sigs, new, held = [], [], [], 0
+            sizes, sigs, bits, new, held = [], [], [], [], 0
             for s in gram_sets(b.column("text"), n, fold):
                 sizes.append(len(s))
                 sigs.append(signature(s) if len(s) else None)
+                bits.append(parities(s) if len(s) else None)
                 if len(s) and sigs[-1] not in seen:
                     seen.add(sigs[-1])
                     new.append(s)
@@ -109,9 +120,9 @@ def _describe(n: int, fold: bool):
                     new, held = [], 0
             if new:
                 h, c = merged(h, c, np.concatenate(new), COUNTERS)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.binary())], names)
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.binary())], names)
         more = c > 1  # what a task saw once tells nothing of frequency
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), none, pa.array([h[more].tobytes()], pa.binary()), pa.array([c[more].tobytes()], pa.binary())], names)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), none, none, pa.array([h[more].tobytes()], pa.binary()), pa.array([c[more].tobytes()], pa.binary())], names)
 
     return run
 
@@ -237,12 +248,12 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: Fraction, fold: bool, id_col: str, text_col: str):
         self.spark, self.n, self.fold, self.threshold = docs.sparkSession, n, fold, Threshold(threshold)
         self.docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-        both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, grams binary, counts binary"))
+        both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, bits binary, grams binary, counts binary"))
         self.described = both.where("size >= 0").select("doc_id", "size", "sig")
         total = self.described.agg(F.sum("size")).first()[0] or 0
         self.order = self.spark.sparkContext.broadcast(_frequent(both, total))
         # One node per set, named by its least document.
-        self.nodes = stored(self.described.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
+        self.nodes = stored(both.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits"), F.min("size").alias("size")))
 
     def postings(self) -> DataFrame:
         """Entries of the lists of prefix n-grams that more than one set has."""
@@ -276,8 +287,20 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: signatures) whose sets are linked, as nodes."""
-        named = pairs.join(self.nodes.select(F.col("sig").alias("a"), F.col("node").alias("na")), "a").join(self.nodes.select(F.col("sig").alias("b"), F.col("node").alias("nb")), "b")
-        wanted = stored(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        side = lambda k: self.nodes.select(F.col("sig").alias(k), F.col("node").alias(f"node_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("size").alias(f"size_{k}"))
+        threshold = self.threshold
+
+        def alike(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
+                n, m = (b.column(c).to_numpy() for c in ("size_a", "size_b"))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                keep = pa.array(apart <= n + m - 2 * threshold.overlap(n, m))
+                yield pa.record_batch([b.column("node_a").filter(keep), b.column("node_b").filter(keep)], ["a", "b"])
+
+        wanted = stored(pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b").mapInArrow(alike, "a long, b long"))
         ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
         many = ids.count()
         if not many:

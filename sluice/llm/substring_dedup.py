@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = 4 * parts
+    chunks = parts  # a chunk tells every hash range at most once, so there are as many rows as chunks times ranges
     kept = [(F.lit(None).cast(docs.schema[c].dataType) if c == text_col else docs[c]).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text", *[f"k{i}" for i in range(len(keep))]), F.lit(chunks)).cast("int"))
