@@ -14,8 +14,8 @@ before whole sets are sent.  A suffix filter compares the sets by halves, and ea
 pair that is left is verified once on whole sets.
 
 A group of thousands of near copies would make a pair for each two of them.  So
-pairs are verified in two steps: first each set with its neighbours in each list of
-a prefix n-gram, as many pairs as list entries; what these links join is then one
+pairs are verified in two steps: first each set with the closest, by bitmap, of those
+near it in the lists of its rarest n-grams, a few for each set; what these links join is then one
 component, and the second step takes up only pairs across components.  Links within
 a component do not change it, so the components are those of all links.
 """
@@ -28,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._graph import components
@@ -43,8 +43,8 @@ FREQUENT = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Bits of a set's bitmap.
 BITMAP = 1024
-#: Entries of a list that one set is verified with, before and after it, in the first step.
-NEIGHBOURS = 2
+#: In the first step: lists of each set, by rarity; entries before it in a list that a set is held against; those of them that it is verified with.
+LISTS, STRETCH, NEIGHBOURS = 4, 64, 2
 
 
 def gram_sets(texts: pa.Array, n: int, fold: bool = True) -> Iterator[np.ndarray]:
@@ -61,10 +61,10 @@ def signature(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def parities(grams: np.ndarray) -> bytes:
+def parities(grams: np.ndarray) -> np.ndarray:
     """For each of BITMAP hash slots, whether an odd number of n-grams falls in it."""
     slots = np.bincount((grams & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
-    return np.packbits((slots & 1).astype(bool)).tobytes()
+    return np.packbits((slots & 1).astype(bool)).view(np.int64)
 
 
 def merged(h: np.ndarray, c: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +120,9 @@ def _describe(n: int, fold: bool):
                     new, held = [], 0
             if new:
                 h, c = merged(h, c, np.concatenate(new), COUNTERS)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.binary())], names)
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.binary())], names)
         more = c > 1  # what a task saw once tells nothing of frequency
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), none, none, pa.array([h[more].tobytes()], pa.binary()), pa.array([c[more].tobytes()], pa.binary())], names)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), none, pa.nulls(1, pa.list_(pa.int64())), pa.array([h[more].tobytes()], pa.binary()), pa.array([c[more].tobytes()], pa.binary())], names)
 
     return run
 
@@ -189,23 +189,34 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool):
 
 
 def _neighbours(threshold: Threshold):
-    """Pairs of each entry with those shortly before it and with the first of its stretch, in sorted lists of a gram."""
+    """For each entry of a sorted list, the closest by bitmap of those shortly before it, NEIGHBOURS at most."""
+    p, q = threshold.t.numerator, threshold.t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple] = []
-        stretch = 0
+        gram, held_sig, held_size, held_bits = None, [], np.zeros(0, np.int64), np.zeros((0, BITMAP // 64), np.uint64)
         for b in batches:
+            if not b.num_rows:
+                continue
+            grams, sigs, sizes = b.column("gram").to_numpy(), b.column("sig").to_pylist(), b.column("size").to_numpy().astype(np.int64)
+            bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)
             found = set()
-            for row in zip(*(b.column(c).to_pylist() for c in ("gram", "sig", "size", "pos")), strict=True):
-                gram, sig, size, pos = row
-                if recent and recent[0][0] != gram:
-                    recent, stretch = [], 0
-                for _, other, m, p in recent:
-                    if other != sig and min(pos, p) + 1 + min(size - pos, m - p) - 1 >= threshold.overlap(size, m) and threshold.links(min(size, m), size, m):
-                        found.add((min(sig, other), max(sig, other)))
-                stretch += 1
-                recent = [row] if not recent or stretch % 64 == 0 else [recent[0], *recent[1:][-(NEIGHBOURS - 1) :], row]
-                recent = [recent[0], *recent[-NEIGHBOURS:]] if len(recent) > NEIGHBOURS + 1 else recent
+            cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if grams[i] != gram:
+                    gram, held_sig, held_size, held_bits = grams[i], [], held_size[:0], held_bits[:0]
+                own_sig, own_size, own_bits = held_sig + sigs[i:j], np.concatenate([held_size, sizes[i:j]]), np.concatenate([held_bits, bits[i:j]])
+                for k in range(len(held_sig), len(own_sig)):
+                    lo = max(0, k - STRETCH)
+                    if lo == k:
+                        continue
+                    n = own_size[lo:k] + own_size[k]
+                    apart = np.bitwise_count(own_bits[lo:k] ^ own_bits[k]).sum(1, dtype=np.int64)
+                    apart = np.where(apart <= n - 2 * -(-p * n // (p + q)), apart, 1 << 30)
+                    for m in np.argpartition(apart, NEIGHBOURS - 1)[:NEIGHBOURS] if len(apart) > NEIGHBOURS else range(len(apart)):
+                        if apart[m] < 1 << 30:
+                            x, y = own_sig[lo + m], own_sig[k]
+                            found.add((min(x, y), max(x, y)))
+                held_sig, held_size, held_bits = own_sig[-STRETCH:], own_size[-STRETCH:], own_bits[-STRETCH:]
             found = sorted(found)
             yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
@@ -248,7 +259,7 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: Fraction, fold: bool, id_col: str, text_col: str):
         self.spark, self.n, self.fold, self.threshold = docs.sparkSession, n, fold, Threshold(threshold)
         self.docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-        both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, bits binary, grams binary, counts binary"))
+        both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, bits array<bigint>, grams binary, counts binary"))
         self.described = both.where("size >= 0").select("doc_id", "size", "sig")
         total = self.described.agg(F.sum("size")).first()[0] or 0
         self.order = self.spark.sparkContext.broadcast(_frequent(both, total))
@@ -283,24 +294,25 @@ class _Join:
             if last is not None and last_shared:
                 yield last
 
-        return found.repartition(parts, "gram").sortWithinPartitions("gram", "sig").mapInArrow(shared, "gram long, sig binary, size int, pos int")
+        lists = found.repartition(parts, "gram").sortWithinPartitions("gram", "sig").mapInArrow(shared, "gram long, sig binary, size int, pos int")
+        # An n-gram that no other prefix has is in no other set before a shared one: of those before it, only shared ones can be common.
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
+        p, q = self.threshold.t.numerator, self.threshold.t.denominator
+        lists = lists.withColumn("rank", rank.cast("int"))
+        # The n-grams that are the set's own are too many for any other set: the least overlap is with the shortest one.
+        return lists.where(F.expr(f"size - (pos - rank) >= ceil({p} * size / {q}D - 1e-9)"))
+
+    def alike(self, bits_a: str, bits_b: str, a: str, b: str) -> str:
+        """SQL: the bitmaps do not rule the pair out; linked sets differ in at most a + b - 2 overlap n-grams."""
+        p, q = self.threshold.t.numerator, self.threshold.t.denominator
+        apart = " + ".join(f"bit_count({bits_a}[{k}] ^ {bits_b}[{k}])" for k in range(BITMAP // 64))
+        return f"({apart}) <= {a} + {b} - 2 * ceil({p} * ({a} + {b}) / {p + q}D - 1e-9)"
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: signatures) whose sets are linked, as nodes."""
         side = lambda k: self.nodes.select(F.col("sig").alias(k), F.col("node").alias(f"node_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("size").alias(f"size_{k}"))
-        threshold = self.threshold
-
-        def alike(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
-                n, m = (b.column(c).to_numpy() for c in ("size_a", "size_b"))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                keep = pa.array(apart <= n + m - 2 * threshold.overlap(n, m))
-                yield pa.record_batch([b.column("node_a").filter(keep), b.column("node_b").filter(keep)], ["a", "b"])
-
-        wanted = stored(pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b").mapInArrow(alike, "a long, b long"))
+        full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(self.alike("bits_a", "bits_b", "size_a", "size_b")))
+        wanted = stored(full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
         many = ids.count()
         if not many:
@@ -321,21 +333,24 @@ class _Join:
         return stored(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.threshold), "a long, b long"))
 
     def run(self) -> DataFrame:
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         lists = stored(self.postings())
-        near = lists.sortWithinPartitions("gram", "size", "sig").mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct()
+        marked = lists.where(F.col("rank") < LISTS).join(self.nodes.select("sig", "bits"), "sig").select("gram", "sig", "size", "bits")
+        near = marked.repartition(parts, "gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct()
         first = self.links(near)
         roots = components(first)
         # What is left: pairs in one list, but in different components.
-        named = self.nodes.join(roots, self.nodes["node"] == roots["node"], "left").select("sig", F.coalesce("root", self.nodes["node"]).alias("root"))
-        rooted = lists.join(named, "sig")
+        named = self.nodes.join(roots, self.nodes["node"] == roots["node"], "left").select("sig", "bits", F.coalesce("root", self.nodes["node"]).alias("root"))
+        rooted = lists.join(named.drop("bits"), "sig")
         mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-        rest = stored(rooted.join(mixed, "gram", "left_semi"))
+        rest = stored(rooted.join(mixed, "gram", "left_semi").join(named.select("sig", "bits"), "sig"))
         x, y = rest.alias("x"), rest.alias("y")
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
         # The shorter is x; equal lengths by signature.
         size = f"(x.size < y.size or (x.size = y.size and x.sig < y.sig)) and x.size * {q} >= y.size * {p}"
-        place = f"(least(x.pos, y.pos) + 1 + least(x.size - x.pos, y.size - y.pos) - 1) * {p + q} >= {p} * (x.size + y.size)"
-        pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+        place = f"(least(x.rank, y.rank) + least(x.size - x.pos, y.size - y.pos)) * {p + q} >= {p} * (x.size + y.size)"
+        alike = self.alike("x.bits", "y.bits", "x.size", "y.size")
+        pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         second = self.links(pairs)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
         final = components(edges) if second.limit(1).count() else roots
