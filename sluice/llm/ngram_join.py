@@ -67,6 +67,23 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits((slots & 1).astype(bool)).view(np.int64)
 
 
+def wide_parities(grams: np.ndarray) -> bytes:
+    """Parities in at least four slots per n-gram, a power of two; what a set's small bitmap cannot tell if it is long."""
+    slots = max(BITMAP, 1 << int(4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """Slots whose parities differ; the wider bitmap is folded to the width of the other."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def merged(h: np.ndarray, c: np.ndarray, new: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters with the n-grams `new` added; if more than `most` are left, all give up the count of the first one too many."""
     if len(new):
@@ -324,13 +341,28 @@ class _Join:
         def sets(batches):
             for b in batches:
                 held = list(gram_sets(b.column("text"), n, fold))
-                yield pa.record_batch([b.column("doc_id"), pa.array([signature(s) for s in held], pa.binary()), pa.array([s.tobytes() for s in held], pa.binary())], ["doc_id", "sig", "grams"])
+                columns = [pa.array([f(s) for s in held], pa.binary()) for f in (signature, wide_parities, np.ndarray.tobytes)]
+                yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "sig", "bits", "grams"])
 
         own = self.nodes.select("sig", F.col("node").alias("doc_id"))
-        found = chosen.mapInArrow(sets, "doc_id long, sig binary, grams binary").join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "grams")
-        found = stored(found)
-        full = wanted.join(found.select(F.col("doc_id").alias("a"), F.col("grams").alias("set_a")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("grams").alias("set_b")), "b")
-        return stored(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.threshold), "a long, b long"))
+        found = chosen.mapInArrow(sets, "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"])
+        found = stored(found.select("doc_id", "bits", F.expr("octet_length(grams) div 8").alias("size"), "grams"))
+        threshold = self.threshold
+
+        def both(pairs: DataFrame, *columns: str) -> DataFrame:
+            for k in ("a", "b"):
+                pairs = pairs.join(found.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
+            return pairs
+
+        def alike(batches):
+            for b in batches:
+                n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b"))
+                apart = np.array([parity_distance(x, y) for x, y in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)], np.int64)
+                keep = pa.array(apart <= n + m - 2 * threshold.overlap(n, m))
+                yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+        likely = stored(both(wanted, "bits", "size").mapInArrow(alike, "a long, b long"))
+        return stored(both(likely, "grams").select("a", "b", F.col("grams_a").alias("set_a"), F.col("grams_b").alias("set_b")).mapInArrow(_verify(threshold), "a long, b long"))
 
     def run(self) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
