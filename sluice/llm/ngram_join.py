@@ -387,7 +387,7 @@ class _Join:
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
         final = components(edges) if second.limit(1).count() else roots
         named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", F.coalesce("root", self.nodes["node"]).alias("component_id"))
-        return self.described.join(named, "sig", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return self.described.join(named, "sig", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: Fraction = Fraction(8, 10), fold: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
