@@ -46,7 +46,6 @@ def _c(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-@F.udf("string")
 def _punycode(host: str | None) -> str | None:
     try:
         return host.encode("idna").decode() if host else None
@@ -65,7 +64,7 @@ def normalize_domain(raw: Column | str, idn: bool = False) -> Column:
     host = F.regexp_extract(host, r"^([^\s#]*)", 1)
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^\*\.", ""), r"\.$", ""), r"^www\.", "")
     if idn:
-        host = F.when(host.rlike(r"[^\x00-\x7f]"), _punycode(host)).otherwise(host)
+        host = F.when(host.rlike(r"[^\x00-\x7f]"), F.udf(_punycode, "string")(host)).otherwise(host)
     refused = line.startswith("#") | line.startswith("!") | host.isin("", "localhost", "broadcasthost") | host.rlike(IPV4) | ~host.rlike(_DOMAIN)
     return F.when(~refused, host)
 
