@@ -75,5 +75,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES = {
+    "op4_ngram_jaccard_join": f"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents
+), s as (
+  select distinct doc_id, case when len(w) >= 3 then w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] else array_to_string(w, ' ') end as g
+  from d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as u(i) where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by 1
+), p as (select x.doc_id as a, y.doc_id as b, count(*) as o from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all
+), l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)
+), e as (select a, b from l union all select b, a from l
+), r as (select doc_id, doc_id as reached from documents union select r.doc_id, e.b from r join e on e.a = r.reached)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reached) as component_id from r left join n using (doc_id) group by r.doc_id""",
+    "op7_chat_formatting": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, row_number() over w as n, count(*) over (partition by conv_id) as turns,
+    20 + length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+    + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) as written
+  from t window w as (partition by conv_id order by turn, role, text)
+), c as (select *, sum(written) over (partition by conv_id order by n) as upto from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  (coalesce(sum(upto) filter (role = 'assistant'), 0) + coalesce(sum(upto) filter (n = turns and role <> 'assistant'), 0))::bigint as formatted_chars
+from c group by conv_id""",
+    "op10_substring_dedup": f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents
+), s as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) as h from d, unnest(range(1, greatest(len(w) - 34, 0) + 1)) as u(i)
+), r as (select doc_id, i from s where h in (select h from s group by h having count(*) > 1)
+), p as (select doc_id, i, w[i] as word, r.i is not null as starts from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d) left join r using (doc_id, i)
+), c as (select *, coalesce(max(case when starts then i end) over (partition by doc_id order by i rows between 34 preceding and current row), 0) > 0 as gone from p
+), k as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept from c group by doc_id)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join k using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
