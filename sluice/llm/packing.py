@@ -2,12 +2,11 @@
 
 Documents are tokenized once; only those longer than a sequence are cut.  The
 planner sees nothing but the number of pieces of each length, at most one entry
-per length, whatever the size of the corpus.  It hashes the lengths and consumes
-combinations that fill a sequence exactly: single pieces, then pairs by
-complement, then triples by the complement of pair sums, as many at once as the
-counts allow.  What is left goes best-fit, longest first.  The plan says which
-ranks of each length go where; a piece finds its place by its rank among the
-pieces of its length.
+per length, whatever the size of the corpus.  It indexes the lengths and the sums of
+two, and looks up, for the gap that the longest piece leaves, one, two or three
+pieces that fill it exactly; they are consumed as often as the counts allow.  Where
+nothing fits exactly, the best fit goes in.  The plan says which ranks of each
+length go where; a piece finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -165,72 +164,85 @@ class Plan:
         return {"length": table[:, 0], "rank": table[:, 1], "base": table[:, 2], "offset": table[:, 3]}
 
 
+class _Lengths:
+    """Available pieces by length, with bit indexes of the lengths and of the sums of two."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = {n: c for n, c in counts.items() if c > 0}
+        self.limit = (1 << (capacity + 1)) - 1
+        self._index()
+
+    def _index(self) -> None:
+        self.singles = sum(1 << n for n in self.left)
+        self.pairs = 0
+        for n in self.left:
+            self.pairs |= (self.singles << n) & self.limit
+
+    def longest(self, limit: int) -> int:
+        """The greatest length up to `limit`, 0 if there is none."""
+        return (self.singles & ((1 << (limit + 1)) - 1)).bit_length() - 1 if limit > 0 and self.singles & ((1 << (limit + 1)) - 1) else 0
+
+    def has(self, items: list[int]) -> bool:
+        return all(self.left.get(n, 0) >= items.count(n) for n in set(items))
+
+    def take(self, items: list[int]) -> int:
+        """Use up as many such sequences as the counts allow."""
+        copies = min(self.left[n] // items.count(n) for n in set(items))
+        for n in set(items):
+            self.left[n] -= copies * items.count(n)
+        if any(not self.left[n] for n in set(items)):
+            self.left = {n: c for n, c in self.left.items() if c}
+            self._index()
+        return copies
+
+    def exact(self, used: list[int], gap: int) -> list[int] | None:
+        """One, two or three pieces that fill `gap` to the token beside those used, the longest first."""
+        if self.has([*used, gap]):
+            return [gap]
+        if self.pairs >> gap & 1:
+            a = self.longest(gap - 1)
+            while 2 * a >= gap:
+                if self.has([*used, a, gap - a]):
+                    return [a, gap - a]
+                a = self.longest(a - 1)
+        a = self.longest(gap - 2)
+        while a and 3 * a >= gap:
+            if self.pairs >> (gap - a) & 1:
+                b = self.longest(min(a, gap - a - 1))
+                while b and 2 * b >= gap - a:
+                    if self.has([*used, a, b, gap - a - b]):
+                        return [a, b, gap - a - b]
+                    b = self.longest(b - 1)
+            a = self.longest(a - 1)
+        return None
+
+
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     """Places for `counts[n]` pieces of each length n, 1 <= n <= capacity.
 
-    Every step uses up the pieces of a length or the open sequences of a pattern,
-    so the plan has a few entries per length, however many pieces there are.
+    The longest piece opens a sequence.  Its gap is looked up among the lengths, the sums
+    of two and those of three; where none fits exactly, the longest piece that fits goes
+    in, and what is then left is looked up again.  The pattern that comes out is used as
+    often as the counts allow, so every step uses up a length or leaves fewer of it than a
+    sequence would hold: the plan has a few entries per length, however many pieces there are.
     """
-    left = {n: c for n, c in counts.items() if c > 0}
-    plan = Plan()
-
-    def take(*lengths: int) -> int:
-        need = {n: lengths.count(n) for n in lengths}
-        copies = min(left.get(n, 0) // k for n, k in need.items())
-        if copies:
-            plan.add(tuple(sorted(lengths, reverse=True)), copies)
-            for n, k in need.items():
-                left[n] -= copies * k
-                if not left[n]:
-                    del left[n]
-        return copies
-
-    take(capacity)
-    for n in sorted(left, reverse=True):
-        if 2 * n >= capacity and n in left and capacity - n in left:
-            take(n, capacity - n)
-    # Triples: the gap above a long piece is looked up among the sums of two that are left, scarcest long pieces first.
-    for n in sorted(left, reverse=True):
-        gap = capacity - n
-        if n * 3 < capacity:
-            break
-        for a in range(min(n, gap - 1), (gap + 1) // 2 - 1, -1):
-            if n not in left:
+    lengths, plan = _Lengths(counts, capacity), Plan()
+    while lengths.left:
+        items = [max(lengths.left)]
+        gap = capacity - items[0]
+        while gap:
+            found = lengths.exact(items, gap)
+            if found:
+                items += found
                 break
-            if a in left and gap - a in left:
-                take(n, a, gap - a)
-    # Best-fit of the rest, longest first: open sequences are kept by the room that they have.
-    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
-    for n in sorted(left, reverse=True):
-        todo = left[n]
-        while todo:
-            room = next((r for r in range(n, capacity) if rooms.get(r)), None)
-            if room is None:
-                fit = capacity // n
-                full, rest = divmod(todo, fit)
-                if full:
-                    rooms[capacity - fit * n].append(((n,) * fit, full))
-                if rest:
-                    rooms[capacity - rest * n].append(((n,) * rest, 1))
-                todo = 0
-                continue
-            lengths, copies = rooms[room].pop()
-            fit = room // n
-            if todo >= fit * copies:
-                rooms[room - fit * n].append(((*lengths, *(n,) * fit), copies))
-                todo -= fit * copies
-            else:
-                full, rest = divmod(todo, fit)
-                if full:
-                    rooms[room - fit * n].append(((*lengths, *(n,) * fit), full))
-                if rest:
-                    rooms[room - rest * n].append(((*lengths, *(n,) * rest), 1))
-                if copies - full - (rest > 0):
-                    rooms[room].append((lengths, copies - full - (rest > 0)))
-                todo = 0
-    for room in sorted(rooms):
-        for lengths, copies in rooms[room]:
-            plan.add(lengths, copies)
+            best = lengths.longest(gap)
+            while best and lengths.left[best] <= items.count(best):
+                best = lengths.longest(best - 1)
+            if not best:
+                break
+            items.append(best)
+            gap -= best
+        plan.add(tuple(items), lengths.take(items))
     return plan
 
 

@@ -55,10 +55,14 @@ def test_plans_place_all(counts):
         for n in lengths:
             placed[n] += copies
     assert placed == Counter({n: c for n, c in counts.items() if c})
-    bins = sum(c for _, c in plan.patterns)
-    # never two sequences that would fit in one
-    rooms = sorted(20 - sum(x) for x, c in plan.patterns for _ in range(c))
-    assert bins < 2 or rooms[-1] + rooms[-2] < 20 or sum(20 - r for r in rooms[-2:]) > 20
+    rooms = []  # plain best-fit, longest first
+    for n in sorted(placed.elements(), reverse=True):
+        fit = [r for r in rooms if r >= n]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else 20) - n)
+    assert sum(c for _, c in plan.patterns) <= len(rooms) * 1.1 + 1
+    assert len(plan.patterns) <= 4 * len(placed)
 
 
 def test_exact_complements():
