@@ -36,9 +36,9 @@ from sluice.llm._store import stored
 from sluice.llm._text import LOWER, doc_groups, hash_words, shingle_hashes, text_buffer
 
 #: Counters of one task; what it forgets of an n-gram is at most its n-grams divided by this.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 17
 #: Entries of the list of frequent n-grams: those in more than this share of all. 16 bytes each.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 22
 #: Rows of candidates up to which their ids are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bits of a set's bitmap.
@@ -319,10 +319,10 @@ class _Join:
         # The n-grams that are the set's own are too many for any other set: the least overlap is with the shortest one.
         return lists.where(F.expr(f"size - (pos - rank) >= ceil({p} * size / {q}D - 1e-9)"))
 
-    def alike(self, bits_a: str, bits_b: str, a: str, b: str) -> str:
+    def alike(self, bits_a: str, bits_b: str, a: str, b: str, words: int = BITMAP // 64) -> str:
         """SQL: the bitmaps do not rule the pair out; linked sets differ in at most a + b - 2 overlap n-grams."""
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
-        apart = " + ".join(f"bit_count({bits_a}[{k}] ^ {bits_b}[{k}])" for k in range(BITMAP // 64))
+        apart = " + ".join(f"bit_count({bits_a}[{k}] ^ {bits_b}[{k}])" for k in range(words))
         return f"({apart}) <= {a} + {b} - 2 * ceil({p} * ({a} + {b}) / {p + q}D - 1e-9)"
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -375,13 +375,14 @@ class _Join:
         named = self.nodes.join(roots, self.nodes["node"] == roots["node"], "left").select("sig", "bits", F.coalesce("root", self.nodes["node"]).alias("root"))
         rooted = lists.join(named.drop("bits"), "sig")
         mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-        rest = stored(rooted.join(mixed, "gram", "left_semi").join(named.select("sig", "bits"), "sig"))
+        half = BITMAP // 128  # lists carry bitmaps folded to half their width
+        rest = stored(rooted.join(mixed, "gram", "left_semi").join(named.select("sig", F.expr(f"transform(sequence(0, {half - 1}), k -> bits[k] ^ bits[k + {half}])").alias("bits")), "sig"))
         x, y = rest.alias("x"), rest.alias("y")
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
         # The shorter is x; equal lengths by signature.
         size = f"(x.size < y.size or (x.size = y.size and x.sig < y.sig)) and x.size * {q} >= y.size * {p}"
         place = f"(least(x.rank, y.rank) + least(x.size - x.pos, y.size - y.pos)) * {p + q} >= {p} * (x.size + y.size)"
-        alike = self.alike("x.bits", "y.bits", "x.size", "y.size")
+        alike = self.alike("x.bits", "y.bits", "x.size", "y.size", half)
         pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         second = self.links(pairs)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
