@@ -113,13 +113,14 @@ class Model:
             direct = -np.log2(freq / (total + kinds))
         return np.where(freq > 0, direct, escape + shorter)
 
-    def index(self) -> np.ndarray:
-        """Place in `seen` of each string of four, -1 if none."""
-        at = np.full(SYMBOLS**4, -1, np.int32)
-        at[self.seen] = np.arange(len(self.seen), dtype=np.int32)
-        return at
-
-    def code_lengths(self, data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each context of three, the symbols seen after it as bits, and the place in `seen` of the first."""
+        context, symbol = self.seen // SYMBOLS, (self.seen % SYMBOLS).astype(np.uint64)
+        bits = np.zeros(SYMBOLS**3, np.uint64)
+        np.bitwise_or.at(bits, context, np.uint64(1) << symbol)
+        return bits, np.searchsorted(context, np.arange(SYMBOLS**3)).astype(np.int32)
+
+    def code_lengths(self, data: np.ndarray, offsets: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Bits of every document under every language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(self.languages):
@@ -136,9 +137,12 @@ class Model:
     def _sums(self, key, ends, index):
         if not len(key):
             return np.zeros((len(ends) - 1, len(self.languages)))
-        at = index[key]
-        cost = self.bits4[at] if len(self.seen) else np.zeros((len(key), len(self.languages)), np.float32)
-        new = np.flatnonzero(at < 0)
+        context, symbol = key >> np.uint32(6), (key & np.uint32(SYMBOLS - 1)).astype(np.uint64)
+        bits = index[0][context]
+        known = (bits >> symbol) & np.uint64(1) != 0
+        at = index[1][context] + np.bitwise_count(bits & ((np.uint64(1) << symbol) - np.uint64(1)))
+        cost = self.bits4[np.minimum(at, len(self.seen) - 1)] if len(self.seen) else np.zeros((len(key), len(self.languages)), np.float32)
+        new = np.flatnonzero(~known)
         if len(new):
             k = key[new].astype(np.int64)
             cost[new] = self.escape3[k // SYMBOLS] + self.bits3[k % SYMBOLS**3]
@@ -211,9 +215,6 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     return Model(languages, table, keys, counts)
 
 
-_INDEX: dict[bytes, np.ndarray] = {}
-
-
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (the id, by default), lang_pred and score of every row, from the text alone.
 
@@ -227,11 +228,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        stamp = m.seen.tobytes()[:4096] + m.table.tobytes() + len(m.seen).to_bytes(8)
-        if stamp not in _INDEX:
-            _INDEX.clear()
-            _INDEX[stamp] = m.index()
-        index = _INDEX[stamp]
+        index = m.index()
         for b in batches:
             texts = b.column(text_at)
             data, offsets = text_buffer(texts)

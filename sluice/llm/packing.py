@@ -24,15 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._store import stored
+from sluice.llm._worker import held
 from sluice.llm.token_counts import load_tokenizer
 
 #: In texts of these characters alone, the tokenizer's split into letters, numbers and the rest is the pattern below.
 _OUTSIDE = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-CACHE, LONGEST = 400_000, 48
-
-_STATE: dict[str, "IdEncoder"] = {}
+CACHE, LONGEST = 250_000, 48
 
 
 def _merger(path: str):
@@ -111,7 +110,7 @@ class IdEncoder:
 
 def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _STATE[path] = _STATE.get(path) or IdEncoder(path)
+        encoder = held(("ids", path), lambda: IdEncoder(path))
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

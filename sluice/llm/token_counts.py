@@ -18,27 +18,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sluice.llm._worker import held
+
 #: White space to `str.split()` but not to the tokenizer's patterns; such texts are encoded without the cache.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Parts remembered by one worker.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer parts are encoded but not remembered.
 LONGEST = 64
 
-_LOADED: dict[str, object] = {}
-
 
 def load_tokenizer(path: str):
-    """The tokenizer of a .json file, once per worker."""
-    if path not in _LOADED:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    """The tokenizer of a .json file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _LOADED[path] = tokenizer
-    return _LOADED[path]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 class PartCounter:
@@ -115,10 +113,8 @@ def spliced(tokenizer, text: str, chunk: int, overlap: int, agree: int = 4) -> t
 
 def _batches(path: str, id_col: str, text_col: str, limit: int, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
-        if ("counter", path) not in _LOADED:
-            _LOADED[("counter", path)] = PartCounter(tokenizer)
-        counter = _LOADED[("counter", path)]
+        counter = held(("counts", path), lambda: PartCounter(load_tokenizer(path)))
+        tokenizer = counter.tokenizer
         for batch in batches:
             ids, column = batch.column(id_col), batch.column(text_col)
             for at in range(0, len(column), 256):
