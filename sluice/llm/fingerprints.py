@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._text import SPACE, doc_groups, hash_words, mix, shingle_hashes, text_buffer
@@ -115,12 +115,12 @@ def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", tex
     low = ids.agg(F.min("id")).first()[0]
     if low is None:
         return spark.createDataFrame([], schema)
-    # A range begins at an id that exists: the quantiles are doubles, so ids are compared after rounding up to the least one there.
-    grouped = ids.select(F.array_size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("id"))).alias("r"), "id") if cuts else ids.select(F.lit(0).alias("r"), "id")
-    begins = sorted(r["low"] for r in grouped.groupBy("r").agg(F.min("id").alias("low")).collect())
-    starts = F.array(*[F.lit(b) for b in begins])
-    own = F.array_size(F.filter(starts, lambda b: b <= F.col("id"))) - 1
-    place = F.when(F.array_contains(starts, F.col("id")), F.array(F.struct(own.alias("range"), F.lit(False).alias("lent")), F.struct(F.pmod(own - 1, F.lit(len(begins))).alias("range"), F.lit(True).alias("lent")))).otherwise(F.array(F.struct(own.alias("range"), F.lit(False).alias("lent"))))
+    # A range begins at an id that exists, the least at or above its cut.
+    begins = sorted(r["low"] for r in ids.groupBy(_up_to([int(c) for c in cuts], F.col("id")).alias("r")).agg(F.min("id").alias("low")).collect())
+    own = _up_to(begins, F.col("id")) - 1
+    first = F.get(F.array(*[F.lit(b) for b in begins]), own) == F.col("id")
+    at = lambda k, lent: F.struct(k.cast("int").alias("range"), F.lit(lent).alias("lent"))
+    place = F.when(first, F.array(at(own, False), at(F.pmod(own - 1, F.lit(len(begins))), True))).otherwise(F.array(at(own, False)))
     dealt = rows.select("id", "text", F.explode(place).alias("to")).select("id", "text", F.col("to.range").cast("int").alias("range"), F.col("to.lent").alias("lent"))
     dealt = dealt.repartitionById(len(begins), F.col("range")).sortWithinPartitions("range", "lent", "id", "text")
 
@@ -150,6 +150,18 @@ def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", tex
     return dealt.mapInArrow(run, schema)
 
 
+def _up_to(values: list[int], x: Column) -> Column:
+    """How many of the sorted values are at most `x`: counted among every so many of them, then within one stretch."""
+    if not values:
+        return F.lit(0)
+    width = max(1, int(len(values) ** 0.5))
+    stretches = [values[i : i + width] for i in range(0, len(values), width)]
+    count = lambda a: F.array_size(F.filter(a, lambda v: v <= x))
+    k = count(F.array(*[F.lit(s[0]) for s in stretches]))
+    inner = F.get(F.array(*[F.array(*[F.lit(v) for v in s]) for s in stretches]), k - 1)
+    return F.when(k == 0, F.lit(0)).otherwise((k - 1) * width + count(inner))
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
 

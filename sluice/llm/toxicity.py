@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on about `toxic` and `clean` labelled documents, or all if fewer.
 
     Only the sampled documents reach the driver.  Rows without text, id or label are no
-    examples; of several labels of a document, the greatest counts.
+    examples; of several labels of a document the greatest counts, of several texts the least.
     """
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rate = {1: min(1.0, toxic / sizes[1]), 0: min(1.0, clean / max(sizes.get(0, 1), 1))}
     drawn = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]) * (1 << 30))
     # The sample is bounded, so it is what is sent to the documents.
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(drawn), "id").dropDuplicates(["id"]).orderBy("id").toArrow()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").toArrow()
     share = sizes[1] / (sizes[1] + sizes.get(0, 0))
     return fit(rows["text"].to_pylist(), rows["y"].to_numpy().astype(np.float64), rows["id"].to_pylist(), share)
 
