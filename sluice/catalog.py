@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from sluice.functions import detect, text, urls
 from sluice.functions.html import page_features
 from sluice.operators import blocklog, corpus, lists, lookup, metrics, scoring
+from sluice.operators.rank import numbered
 from sluice.plans import policy
-from sluice.plans.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -319,14 +319,8 @@ def tier1_topn(spark, d):
 
 @query(f"with {_FIRST} select {fnv64('domain')} as h, cat, domain, row_number() over (order by {fnv64('domain')}) as pos from first")
 def hash_sorted_table(spark, d):
-    from pyspark.sql import Window
-
     tail = lists.tail_table(lists.first_wins(listed(spark, d)))
-    parts = tail.withColumn("part", F.spark_partition_id())
-    parts = stored(parts)
-    before = parts.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pos = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(text.unsigned_order("h"), "domain"))
-    return parts.join(F.broadcast(before), "part").select(text.hex64("h").alias("h"), "cat", "domain", pos.alias("pos"))
+    return numbered(tail, text.unsigned_order("h"), F.col("domain"), name="pos").select(text.hex64("h").alias("h"), "cat", "domain", (F.col("pos") + 1).alias("pos"))
 
 
 @query(f"with {_FIRST} select {fnv64('domain')} as h, count(*) as n from first group by 1 having count(*) > 1")
@@ -342,10 +336,8 @@ def hash_collisions(spark, d):
     "select pos, domain, (rule // 4)::int as chunk, rule + 1 as rule_id from scan where (rule // 4) * 4 < 28"
 )
 def rule_packing(spark, d):
-    from pyspark.sql import Window
-
     first = lists.first_wins(listed(spark, d))
-    tier = first.select("domain", (F.row_number().over(Window.orderBy("cat", "src", "seq", "domain")) - 1).cast("long").alias("pos"))
+    tier = numbered(first, *map(F.col, ("cat", "src", "seq", "domain")), name="pos").select("domain", "pos")
     return lists.pack_rules(tier, domains_per_rule=5, rules_per_chunk=4, max_rules=28)
 
 
@@ -420,7 +412,7 @@ def per_label_sample(spark, d):
 
 @query(
     f"with {_FIRST}, rows as (select domain, 'c' || cat as label from first where not contains(domain, 'd13')), "
-    f"o as (select label, domain, rank, row_number() over (partition by label order by case when label in ('c0', 'c1') and rank is not null then 1 else 2 end, case when label in ('c0', 'c1') then rank end nulls last, {fnv32(chr(39) + '0|' + chr(39) + ' || domain')}, domain) as pos from rows left join ({RANKED}) r using (domain)) select label, domain, pos from o"
+    f"o as (select label, domain, rank, row_number() over (partition by label order by case when label in ('c0', 'c1') and rank is not null then 1 else 2 end, case when label in ('c0', 'c1') then rank end nulls last, {fnv32(chr(39) + '0|' + chr(39) + ' || domain')}, domain)::int as pos from rows left join ({RANKED}) r using (domain)) select label, domain, pos from o"
 )
 def pools_popular_first(spark, d):
     rows = lists.first_wins(listed(spark, d)).select("domain", F.concat(F.lit("c"), F.col("cat").cast("string")).alias("label"))
@@ -439,12 +431,12 @@ def hardneg_leak_guard(spark, d):
     return corpus.remaining(docs.where("lang = 'fr'"), docs.where("lang = 'es' and doc_id % 3 = 0"), key="source").select("doc_id", "source")
 
 
-@query(f"select lang, fold, count(*) as n from (select lang, ntile(5) over (partition by lang order by {fnv32(chr(39) + '0|' + chr(39) + ' || doc_id::varchar')}, doc_id) as fold from documents) group by all")
+@query(f"select lang, fold::int as fold, count(*) as n from (select lang, ntile(5) over (partition by lang order by {fnv32(chr(39) + '0|' + chr(39) + ' || doc_id::varchar')}, doc_id) as fold from documents) group by all")
 def stratified_folds(spark, d):
     return scoring.folds(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id").groupBy("lang", "fold").agg(F.count("*").alias("n"))
 
 
-@query("with o as (select l_orderkey as topic, 'u' || l_partkey as url, l_linenumber as seq from lineitem), f as (select topic, url, min(seq) as seq from o group by all) select topic, url, row_number() over (partition by topic order by seq, url) as pos from f qualify row_number() over (partition by topic order by seq, url) <= 3")
+@query("with o as (select l_orderkey as topic, 'u' || l_partkey as url, l_linenumber as seq from lineitem), f as (select topic, url, min(seq) as seq from o group by all) select topic, url, (row_number() over (partition by topic order by seq, url))::int as pos from f qualify row_number() over (partition by topic order by seq, url) <= 3")
 def seed_urls_capped(spark, d):
     from sluice.sources.writers import seed_urls
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import fnv1a32, simhash, whole_document
+from sluice.operators.lookup import checked_broadcast
+from sluice.operators.rank import numbered
 
 MIN_BODY_CHARS, MIN_META_TOKENS = 80, 6
 # Phrases of parked, challenge and removed pages.
@@ -152,9 +154,8 @@ def split_by_key(df: DataFrame, key: str, ratios: tuple[float, float, float], se
 
     Keys are ordered by hash and cut at whole numbers of keys; only keys are ranked.
     """
-    keys = df.select(key).distinct()
-    ranked = keys.withColumn("n", F.row_number().over(Window.orderBy(*hash_order(seed, key))) - 1)
-    total = keys.count()
+    ranked = numbered(df.select(key).distinct(), *hash_order(seed, key))
+    total = ranked.count()
     a, b = int(total * ratios[0]), int(total * ratios[1])
     named = ranked.select(key, F.when(F.col("n") < a, "train").when(F.col("n") < a + b, "val").otherwise("test").alias("split"))
     return df.join(named, key)
@@ -188,8 +189,10 @@ def pools(rows: DataFrame, ranks: DataFrame, *, popular_first: tuple[str, ...] =
         own = forced.groupBy("label", "domain").agg(F.min("seq").cast("long").alias("at")).select("label", "domain", F.lit(0).alias("turn"), "at")
         labels = rows.select("label").distinct()
         kept = kept.join(forced.select("domain").distinct(), "domain", "left_anti").unionByName(own.join(labels, "label", "left_semi"))
-    order = Window.partitionBy("label").orderBy("turn", F.col("at").asc_nulls_last(), *hash_order(seed, "domain"))
-    return kept.select("label", "domain", F.row_number().over(order).alias("pos"))
+    # numbered over all labels, and from the first of each: a label may hold most rows
+    every = numbered(kept, F.col("label"), F.col("turn"), F.col("at"), *hash_order(seed, "domain"))
+    first = every.groupBy("label").agg(F.min("n").alias("first"))
+    return every.join(checked_broadcast(first), "label").select("label", "domain", (F.col("n") - F.col("first") + 1).cast("int").alias("pos"))
 
 
 def remaining(pool: DataFrame, *taken: DataFrame, key: str = "domain") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import whole_document
 from sluice.operators import corpus, lists
+from sluice.operators.rank import numbered
 from sluice.plans.session import stored
 
 
@@ -31,8 +32,7 @@ def compile_lists(rows: DataFrame, *, block: DataFrame | None = None, allow: Dat
     if not table.limit(1).count():
         raise ValueError("no domains: an empty list is not published")
     tier = lists.first_tier(table, ranks, min(max_domains, max_rules * domains_per_rule))
-    order = Window.orderBy(F.col("rank").asc_nulls_last(), "cat", "src", "seq", "domain")  # the tier is bounded by its capacity
-    tier = stored(tier.withColumn("pos", (F.row_number().over(order) - 1).cast("long")))
+    tier = stored(numbered(tier, *map(F.col, ("rank", "cat", "src", "seq", "domain")), name="pos"))
     return Compiled(table, tier, lists.pack_rules(tier.select("pos", "domain"), domains_per_rule=domains_per_rule, rules_per_chunk=rules_per_chunk, max_rules=max_rules), lists.tail_table(table))
 
 
