@@ -27,3 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, default: str = "67108864b", most: str = "8m") -> None:
+    """Batches of texts go to Python by the megabyte, not by the thousand rows: a session setting, left alone where it was set."""
+    if spark.conf.get(_BATCH, default) == default:
+        spark.conf.set(_BATCH, most)

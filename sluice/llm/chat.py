@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._store import bounded_batches
+
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _NEEDS = re.compile("|".join(map(re.escape, ("\\", *CONTROLS))))
 _ESCAPED = re.compile(r"\\(\\?)")
@@ -62,6 +64,7 @@ def expand(turns: DataFrame) -> DataFrame:
     form one of their own.  Examples of a conversation follow each other in one
     partition.  Turns are read as a stream, one conversation in memory at a time.
     """
+    bounded_batches(turns.sparkSession)
     kind = dict(turns.dtypes)["conv_id"]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

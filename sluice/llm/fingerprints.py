@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._store import bounded_batches
 from sluice.llm._text import SPACE, doc_groups, hash_words, mix, shingle_hashes, text_buffer
 
 _U = np.uint64
@@ -73,6 +74,7 @@ def fingerprint(docs: DataFrame, *, bits: int = 256, id_col: str = "doc_id", tex
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(fingerprint_texts(b.column(1), bits), pa.binary())], ["doc_id", "fingerprint"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fingerprint binary")
 
 
@@ -106,6 +108,7 @@ def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", tex
     comes before all others.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).withColumn("id", F.coalesce("id", F.lit(-(2**63))))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._store import bounded_batches
 from sluice.llm._text import LOWER, doc_groups, text_buffer
 
 #: Symbol 0 is the blank, symbol 1 all bytes without one of their own.
@@ -174,6 +175,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     The sample is of whole texts, drawn by hash of id and text.  What reaches the
     driver is bounded by the sample: the strings of four symbols in it, with counts.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
@@ -224,6 +226,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     64**4 entries, whatever the corpus.
     """
     keep = [id_col] if keep is None else keep
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

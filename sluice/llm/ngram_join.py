@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._graph import components
-from sluice.llm._store import stored
+from sluice.llm._store import bounded_batches, stored
 from sluice.llm._text import LOWER, doc_groups, hash_words, shingle_hashes, text_buffer
 
 #: Counters of one task; what it forgets of an n-gram is at most its n-grams divided by this.
@@ -275,6 +275,7 @@ def _verify(threshold: Threshold):
 class _Join:
     def __init__(self, docs: DataFrame, n: int, threshold: Fraction, fold: bool, id_col: str, text_col: str):
         self.spark, self.n, self.fold, self.threshold = docs.sparkSession, n, fold, Threshold(threshold)
+        bounded_batches(self.spark)
         self.docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
         both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, bits array<bigint>, grams binary, counts binary"))
         self.described = both.where("size >= 0").select("doc_id", "size", "sig")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._store import stored
+from sluice.llm._store import bounded_batches, stored
 from sluice.llm._worker import held
 from sluice.llm.token_counts import load_tokenizer
 
@@ -134,6 +134,7 @@ def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and the end id, cut only where they exceed a sequence."""
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long"
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(_pieces(tokenizer_path, capacity, end_id, id_col, text_col), schema)
 

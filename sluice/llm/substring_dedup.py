@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._store import bounded_batches
 from sluice.llm._text import doc_groups, hash_words, mix, text_buffer
 
 _U = np.uint64
@@ -236,6 +237,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     documents like any other.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     keep = [id_col] if keep is None else keep
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = parts  # a chunk tells every hash range at most once, so there are as many rows as chunks times ranges

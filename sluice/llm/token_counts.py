@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sluice.llm._store import bounded_batches
 from sluice.llm._worker import held
 
 #: White space to `str.split()` but not to the tokenizer's patterns; such texts are encoded without the cache.
@@ -137,5 +138,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_
     Null and empty texts have 0 bytes and 0 tokens.  A null id stays null; repeated
     rows are counted one by one; other columns are left out.  No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean"
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(_batches(tokenizer_path, id_col, text_col, limit, chunk_chars, overlap_chars), schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._store import bounded_batches
 from sluice.llm._text import doc_groups, text_buffer
 
 #: Labelled examples of each kind that the classifier is fitted on, about; beyond them an even sample by hash.
@@ -266,6 +267,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
     has the score of its neighbours' votes like any other.  Rows that repeat an id are
     scored one by one.  No shuffle; the model is bounded by its sample.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
