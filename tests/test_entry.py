@@ -12,6 +12,7 @@ def test_without_the_llm_folders(tmp_path):
     for name in ("sluice", "__spark_entry__.py"):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
     shutil.rmtree(tmp_path / "sluice" / "llm", ignore_errors=True)
+    (tmp_path / "sluice" / "llm" / "__pycache__").mkdir(parents=True)  # as a deleted checkout may leave it
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
 
