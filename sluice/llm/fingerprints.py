@@ -84,19 +84,22 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int, *, bits
     Both hold a `fingerprint` column; equal ones count once, so copies of a document
     do not multiply.  Rows without a fingerprint take no part.
     """
-    blocks = radius + 1
+    blocks, words = radius + 1, bits // 32
+    cut = [bits * k // blocks for k in range(blocks + 1)]
 
     def permuted(df: DataFrame, name: str) -> DataFrame:
-        cut = [bits * k // blocks for k in range(blocks + 1)]
-        text = F.col("bits")
-        keys = F.array(*[F.concat(F.lit(f"{k}:"), F.substring(text, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(blocks)])
+        """A row per fingerprint and block: the block's number and bits, which the join is on, and the whole as 32-bit words."""
         one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        spelled = F.concat(*[F.lpad(F.bin(F.conv(F.substring(F.hex(name), 8 * k + 1, 8), 16, 10).cast("long")), 32, "0") for k in range(bits // 32)])
-        return one.withColumn("bits", spelled).select(name, F.explode(keys).alias("block"))
-
-    distance = sum(F.bit_count(F.conv(F.substring(F.hex("query"), 8 * k + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex("near"), 8 * k + 1, 8), 16, 10).cast("long"))) for k in range(bits // 32))
-    pairs = permuted(queries, "query").join(permuted(table, "near"), "block").where(F.col("query") != F.col("near")).select("query", "near").distinct()
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius)
+        word = lambda k: F.conv(F.substring(F.hex(name), 8 * k + 1, 8), 16, 10).cast("long")
+        one = one.withColumn(f"{name}_words", F.array(*[word(k) for k in range(words)]))
+        spelled = F.concat(*[F.lpad(F.bin(F.get(f"{name}_words", F.lit(k))), 32, "0") for k in range(words)])
+        keys = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("bits", cut[k] + 1, cut[k + 1] - cut[k])) for k in range(blocks)])
+        return one.withColumn("bits", spelled).select(name, f"{name}_words", F.explode(keys).alias(f"{name}_block"))
+
+    # The distance is part of the join, so only fingerprints within the radius leave it.
+    distance = " + ".join(f"bit_count(query_words[{k}] ^ near_words[{k}])" for k in range(words))
+    pairs = permuted(queries, "query").join(permuted(table, "near"), F.expr(f"query_block = near_block and query <> near and {distance} <= {radius}"))
+    return pairs.select("query", "near", F.expr(distance).cast("int").alias("distance")).distinct()
 
 
 def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
