@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples, under exact TF-IDF cosine over a block-max inverted index.
 
 Texts are read as bytes: A-Z to a-z, runs of other bytes than letters and digits to
-one blank.  Terms are all strings of four and of six such bytes, taken as numbers, so
-stems show in any word that holds them.  From a bounded, balanced sample of labelled
+one blank.  Terms are all strings of four, six and eight such bytes, taken as numbers,
+so stems show in any word that holds them.  From a bounded, balanced sample of labelled
 rows, the terms are kept that are more frequent in toxic examples than chance allows.
 Every vector also has one constant term: texts with little of those terms are near
 each other, and near the clean examples, rather than near whatever shares one term.
@@ -26,19 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._store import bounded_batches
-from sluice.llm._text import doc_groups, text_buffer
+from sluice.llm._text import doc_groups, hash_words, shingle_hashes, text_buffer
 
 #: Labelled examples of each kind that the classifier is fitted on, about; beyond them an even sample by hash.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1024, 2048
 #: Terms kept at most; standard deviations by which, and times that, they must be more frequent in toxic examples; the least share of those that has them.
-TERMS, LEAST_Z, LEAST_RATIO, LEAST_SHARE = 2048, 6.0, 6.0, 0.04
+TERMS, LEAST_Z, LEAST_RATIO, LEAST_SHARE = 2048, 4.5, 20.0, 0.015
 #: Neighbours that vote, and examples of a block.
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the constant term.
 CONSTANT = 3.0
-LENGTHS = (4, 6)
+LENGTHS = (4, 6, 8)
 
 _U = np.uint64
+_SEEDS = [int(x) for x in np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, 6)]
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -46,7 +47,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(term, document) of every string of four and six folded bytes; documents stand between blanks."""
+    """(term, document) of every string of four, six and eight folded bytes; documents stand between blanks."""
     n = len(data)
     folded = _FOLD[data]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -90,6 +91,17 @@ def _counted(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[at], doc[at], np.diff(np.append(at, len(key)))
 
 
+def _is_new(keys: np.ndarray, seen: set) -> bool:
+    """False for a near copy of a text seen before, by pairs of equal least shingle hashes: copies would make their chance terms look frequent."""
+    if not len(keys):
+        return True
+    least = [int(((keys ^ _U(seed)) * _U(0x9E3779B97F4A7C15)).min()) for seed in _SEEDS]
+    marks = {(i, j, least[i], least[j]) for i in range(len(least)) for j in range(i)}
+    known = not marks.isdisjoint(seen)
+    seen |= marks
+    return not known
+
+
 class Index:
     """Postings of unit TF-IDF vectors, in blocks, with each term's greatest weight in a block."""
 
@@ -204,12 +216,14 @@ def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Mode
     if not n1:
         return _empty()
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    found, many = [[], []], 256
+    found, many, copies = [[], []], 256, set()
     for i in range(0, len(texts), many):
         j = min(len(texts), i + many)
         key, doc, _ = _counted(*terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        w = hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        new = np.array([_is_new(shingle_hashes(w.h[a:b], 3), copies) for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True)], bool)
         for y in (0, 1):
-            found[y].append(np.unique(key[labels[i + doc] == y], return_counts=True))
+            found[y].append(np.unique(key[(labels[i + doc] == y) & new[doc]], return_counts=True))
 
     def total(parts):
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
