@@ -41,6 +41,8 @@ COUNTERS = 1 << 17
 FREQUENT = 1 << 22
 #: Rows of candidates up to which their ids are broadcast (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Sets in the list of an n-gram beyond which it is dealt in parts, as far as its count is known.
+LONGEST_LIST = 1024
 #: Bits of a set's bitmap.
 BITMAP = 1024
 #: In the first step: lists of each set, by rarity; entries before it in a list that a set is held against; those of them that it is verified with.
@@ -168,39 +170,52 @@ class Order:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(grams >> np.uint64(42)).astype(np.int64)] = True
 
-    def sort(self, s: np.ndarray) -> np.ndarray:
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams in order, with their counts, 0 if they are not frequent."""
+        count = np.zeros(len(s), np.int64)
         known = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
         if not len(known):
-            return s
+            return s, count
         at = np.minimum(np.searchsorted(self.grams, s[known]), len(self.grams) - 1)
-        count = np.zeros(len(s), np.int64)
         count[known] = np.where(self.grams[at] == s[known], self.counts[at], 0)
-        return s[np.argsort(count, kind="stable")]  # s is sorted by hash
+        order = np.argsort(count, kind="stable")  # s is sorted by hash
+        return s[order], count[order]
+
 
+def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
+    """(gram, part, sig, size, pos) of the prefix of each set, once per task and set.
+
+    The list of an n-gram that is known in more than `longest` sets is in parts, by
+    signature; -1 where it is whole.
+    """
 
-def _prefixes(order, threshold: Threshold, n: int, fold: bool):
-    """(gram, sig, size, pos) of the prefix of each set, once per task and set."""
+    def batch(rows):
+        grams, parts, sigs, sizes, pos = rows
+        return pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos))], ["gram", "part", "sig", "size", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = Order(*order.value)
         seen: set[bytes] = set()
+        rows, held = ([], [], [], [], []), 0
         for b in batches:
-            grams, sigs, sizes, pos, held = [], [], [], [], 0
             for s in gram_sets(b.column("text"), n, fold):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
                 k = threshold.prefix(len(s))
-                grams.append(rare.sort(s)[:k])
-                sigs += [sig] * k
-                sizes.append(np.full(k, len(s), np.int32))
-                pos.append(np.arange(k, dtype=np.int32))
+                grams, counts = (x[:k] for x in rare.sort(s))
+                own = int.from_bytes(sig[:4])
+                rows[0].append(grams)
+                rows[1].append(np.where(counts > longest, own % (counts // longest + 1), -1).astype(np.int32))
+                rows[2].extend([sig] * k)
+                rows[3].append(np.full(k, len(s), np.int32))
+                rows[4].append(np.arange(k, dtype=np.int32))
                 held += k
                 if held > 1 << 16:
-                    yield pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos))], ["gram", "sig", "size", "pos"])
-                    grams, sigs, sizes, pos, held = [], [], [], [], 0
-            if held:
-                yield pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos))], ["gram", "sig", "size", "pos"])
+                    yield batch(rows)
+                    rows, held = ([], [], [], [], []), 0
+        if held:
+            yield batch(rows)
 
     return run
 
@@ -287,10 +302,11 @@ class _Join:
     def postings(self) -> DataFrame:
         """Entries of the lists of prefix n-grams that more than one set has."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.order, self.threshold, self.n, self.fold), "gram long, sig binary, size int, pos int")
+        found = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST), "gram long, part int, sig binary, size int, pos int")
 
         def shared(batches):
             # Rows come sorted: one whose neighbours have another gram is alone, and a repeated (gram, sig) is a copy.
+            # Lists in parts are long, so no row of theirs is alone.
             last = None
             for b in batches:
                 if not b.num_rows:
@@ -305,14 +321,14 @@ class _Join:
                 if last is not None:
                     same[0] = last_shared
                 same[1:] |= g[1:] == g[:-1]
-                before = same.copy()
+                before = same | (t.column("part").to_numpy() >= 0)
                 before[:-1] |= g[1:] == g[:-1]
-                last, last_shared = t.slice(len(g) - 1), bool(same[-1])
+                last, last_shared = t.slice(len(g) - 1), bool(same[-1]) or t.column("part")[len(g) - 1].as_py() >= 0
                 yield t.slice(0, len(g) - 1).filter(pa.array(before[:-1]))
             if last is not None and last_shared:
                 yield last
 
-        lists = found.repartition(parts, "gram").sortWithinPartitions("gram", "sig").mapInArrow(shared, "gram long, sig binary, size int, pos int")
+        lists = found.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "sig").mapInArrow(shared, "gram long, part int, sig binary, size int, pos int")
         # An n-gram that no other prefix has is in no other set before a shared one: of those before it, only shared ones can be common.
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
@@ -368,8 +384,8 @@ class _Join:
     def run(self) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         lists = stored(self.postings())
-        marked = lists.where(F.col("rank") < LISTS).join(self.nodes.select("sig", "bits"), "sig").select("gram", "sig", "size", "bits")
-        near = marked.repartition(parts, "gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct()
+        marked = lists.where(F.col("rank") < LISTS).join(self.nodes.select("sig", "bits"), "sig").select("gram", "part", "sig", "size", "bits")
+        near = marked.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "size", "sig").mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct()
         first = self.links(near)
         roots = components(first)
         # What is left: pairs in one list, but in different components.

@@ -59,8 +59,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("n, t", [(3, Fraction(9, 10)), (5, Fraction(8, 10)), (1, Fraction(1, 2))])
-def test_components_are_those_of_all_links(spark, n, t):
+@pytest.mark.parametrize("n, t, longest", [(3, Fraction(9, 10), 1024), (3, Fraction(9, 10), 4), (5, Fraction(8, 10), 4), (1, Fraction(1, 2), 1024)])
+def test_components_are_those_of_all_links(spark, monkeypatch, n, t, longest):
+    monkeypatch.setattr(ngram_join, "LONGEST_LIST", longest)
     rows = corpus(n)
     df = spark.createDataFrame([(d, x, 0) for d, x in rows], "doc_id long, text string, component_id int")
     got = Counter(map(tuple, ngram_join.jaccard_components(df, n=n, threshold=t).collect()))
