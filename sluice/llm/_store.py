@@ -26,7 +26,19 @@ def stored(df: DataFrame) -> DataFrame:
     """`df`, written once and read back: later readers, and tasks run again after a lost executor, see the same rows."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and nothing reads any more: whatever was made of them must itself be stored by now."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._graph import components
-from sluice.llm._store import bounded_batches, stored
+from sluice.llm._store import bounded_batches, discard, stored
 from sluice.llm._text import LOWER, doc_groups, hash_words, shingle_hashes, text_buffer
 
 #: Counters of one task; what it forgets of an n-gram is at most its n-grams divided by this.
@@ -379,7 +379,9 @@ class _Join:
                 yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
         likely = stored(both(wanted, "bits", "size").mapInArrow(alike, "a long, b long"))
-        return stored(both(likely, "grams").select("a", "b", F.col("grams_a").alias("set_a"), F.col("grams_b").alias("set_b")).mapInArrow(_verify(threshold), "a long, b long"))
+        out = stored(both(likely, "grams").select("a", "b", F.col("grams_a").alias("set_a"), F.col("grams_b").alias("set_b")).mapInArrow(_verify(threshold), "a long, b long"))
+        discard(wanted, found, likely)
+        return out
 
     def run(self) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -404,6 +406,7 @@ class _Join:
         second = self.links(pairs)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
         final = components(edges) if second.limit(1).count() else roots
+        discard(lists, first, rest, second, *([roots] if final is not roots else []))
         named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", F.coalesce("root", self.nodes["node"]).alias("component_id"))
         return self.described.join(named, "sig", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
