@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm._store import bounded_batches
 from sluice.llm._text import LOWER, doc_groups, text_buffer
+from sluice.llm._worker import trimmed
 
 #: Symbol 0 is the blank, symbol 1 all bytes without one of their own.
 SYMBOLS = 64
@@ -191,7 +192,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
         yield pa.record_batch([pa.array(total.tolist(), pa.int64()), pa.array(range(256), pa.int32())], ["n", "byte"])
 
     bytes_seen = np.zeros(256)
-    for r in drawn.mapInArrow(count_bytes, "n long, byte int").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in drawn.mapInArrow(trimmed(count_bytes), "n long, byte int").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         bytes_seen[r["byte"]] = r["n"]
     table = symbol_table(bytes_seen)
     number = {lang: i for i, lang in enumerate(languages)}
@@ -208,7 +209,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
                         found[k] = found.get(k, 0) + c
                 yield pa.record_batch([pa.array([int(i)] * len(found), pa.int32()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
 
-    got = drawn.mapInArrow(count_grams, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    got = drawn.mapInArrow(trimmed(count_grams), "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     keys, counts = [], []
     for i in range(len(languages)):
         own = got[got["lang"] == i].sort_values("key")
@@ -255,7 +256,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["__lang string", "__score double"])
     more = [] if text_col in keep else [docs[text_col].alias("text")]
     text_at = keep.index(text_col) if text_col in keep else len(keep)
-    out = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *more).mapInArrow(run, schema)
+    out = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *more).mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in ("lang_pred", "score")], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from sluice.llm._graph import components
 from sluice.llm._store import bounded_batches, discard, stored
 from sluice.llm._text import LOWER, doc_groups, hash_words, shingle_hashes, text_buffer
+from sluice.llm._worker import trimmed
 
 #: Counters of one task; what it forgets of an n-gram is at most its n-grams divided by this.
 COUNTERS = 1 << 17
@@ -292,7 +293,7 @@ class _Join:
         self.spark, self.n, self.fold, self.threshold = docs.sparkSession, n, fold, Threshold(threshold)
         bounded_batches(self.spark)
         self.docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-        both = stored(self.docs.mapInArrow(_describe(n, fold), "doc_id long, size long, sig binary, bits array<bigint>, grams binary, counts binary"))
+        both = stored(self.docs.mapInArrow(trimmed(_describe(n, fold)), "doc_id long, size long, sig binary, bits array<bigint>, grams binary, counts binary"))
         self.described = both.where("size >= 0").select("doc_id", "size", "sig")
         total = self.described.agg(F.sum("size")).first()[0] or 0
         self.order = self.spark.sparkContext.broadcast(_frequent(both, total))
@@ -302,7 +303,7 @@ class _Join:
     def postings(self) -> DataFrame:
         """Entries of the lists of prefix n-grams that more than one set has."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST), "gram long, part int, sig binary, size int, pos int")
+        found = self.docs.where("doc_id is not null").mapInArrow(trimmed(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST)), "gram long, part int, sig binary, size int, pos int")
 
         def shared(batches):
             # Rows come sorted: one whose neighbours have another gram is alone, and a repeated (gram, sig) is a copy.
@@ -362,7 +363,7 @@ class _Join:
                 yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "sig", "bits", "grams"])
 
         own = self.nodes.select("sig", F.col("node").alias("doc_id"))
-        found = chosen.mapInArrow(sets, "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"])
+        found = chosen.mapInArrow(trimmed(sets), "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"])
         found = stored(found.select("doc_id", "bits", F.expr("octet_length(grams) div 8").alias("size"), "grams"))
         threshold = self.threshold
 

@@ -31,7 +31,7 @@ from sluice.llm.token_counts import load_tokenizer
 _OUTSIDE = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-CACHE, LONGEST = 250_000, 48
+CACHE, LONGEST = 150_000, 48
 
 
 def _merger(path: str):

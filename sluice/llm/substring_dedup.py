@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm._store import bounded_batches
 from sluice.llm._text import doc_groups, hash_words, mix, text_buffer
+from sluice.llm._worker import release
 
 _U = np.uint64
 #: Rounds of pairs, and most words that a symbol spans.
@@ -248,6 +249,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     rows = rows.repartition(parts, "chunk")
 
     def tell_symbols(t: pa.Table) -> pa.Table:
+        release()
         found = [_twice(g.symbols()[0]) for g in _groups(t, window)]
         x = _twice(np.concatenate([*found, np.zeros(0, np.uint64)]))
         return _deal(t.column("chunk")[0].as_py(), x, x, chunks)
@@ -299,7 +301,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
         if with_text:
             columns.append(pa.array(left, pa.string()))
             names.append("kept_text")
-        return pa.table(columns, names)
+        out = pa.table(columns, names)
+        release()
+        return out
 
     dealt, told = "bucket int, chunk int, payload binary", "chunk int, payload binary"
     by_chunk = rows.groupBy("chunk")
