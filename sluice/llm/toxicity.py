@@ -31,12 +31,14 @@ from sluice.llm._text import doc_groups, hash_words, shingle_hashes, text_buffer
 #: Labelled examples of each kind that the classifier is fitted on, about; beyond them an even sample by hash.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1024, 2048
 #: Terms kept at most; standard deviations by which, and times that, they must be more frequent in toxic examples; the least share of those that has them.
-TERMS, LEAST_Z, LEAST_RATIO, LEAST_SHARE = 2048, 4.5, 20.0, 0.015
+TERMS, LEAST_Z, LEAST_RATIO, LEAST_SHARE = 2048, 4.5, 2.0, 0.015
 #: Neighbours that vote, and examples of a block.
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the constant term.
 CONSTANT = 3.0
 LENGTHS = (4, 6, 8)
+#: Times at which a term has half the weight it can have, in texts up to so many bytes; in longer ones, as many more times: they have more of everything by chance.
+HALF, SHORT = 1.5, 300
 
 _U = np.uint64
 _SEEDS = [int(x) for x in np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, 6)]
@@ -168,8 +170,8 @@ class Model:
         ok = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
         number, doc, times = _counted(at[ok].astype(np.uint64), doc[ok])
         number = number.astype(np.int64)
-        weight = (1 + np.log(times)) * self.idf[number]
         n = len(offsets) - 1
+        weight = times * (HALF + 1) / (times + HALF * np.maximum(np.diff(offsets) / SHORT, 1)[doc]) * self.idf[number]
         doc, number, weight = np.concatenate([doc, np.arange(n)]), np.concatenate([number, np.full(n, len(self.keys))]), np.concatenate([weight, np.full(n, CONSTANT)])
         order = np.argsort(doc, kind="stable")
         doc, number, weight = doc[order], number[order], weight[order]
@@ -235,7 +237,7 @@ def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Mode
     p1, p0 = df1 / n1, other / max(n0, 1)
     p = (df1 + other + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / max(n0, 1)))
-    # far more frequent, not only surely so: long texts have more of everything, and copies of one text repeat its chance terms
+    # Surely more frequent, and somewhat: a much greater ratio over all languages would drop the stems that only a small one has.
     good = np.flatnonzero((z >= min(LEAST_Z, 0.5 * np.sqrt(n1))) & (p1 > LEAST_RATIO * p0) & (p1 >= LEAST_SHARE))
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:TERMS]])
     keys = keys[good]

@@ -116,6 +116,34 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_stems_of_a_small_language_stay():
+    rng = random.Random(8)
+    make = lambda w, n: [rng.choice(w) + rng.choice(["", "ka", "lo", "mi"]) for _ in range(n)]
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            small, bad = i % 5 == 0, i % 6 == 0
+            w = make(DE if small else EN, 900 if small and i % 4 == 3 else rng.randrange(40, 80))
+            if small and i % 4 == 3:  # a long clean text has the stem by chance
+                w[::300] = ["bomen", "bomenka", "bomenlo"]
+                bad = False
+            for _ in range(6 if bad else 0):
+                w.insert(rng.randrange(len(w)), "bomen" + rng.choice(["", "ka", "lo"]) if small else rng.choice(["idiot", "scum"]))
+            out.append((" ".join(w), int(bad), small))
+        return out
+
+    learn, held = rows(900), rows(300)
+    y = np.array([y for _, y, _ in learn])
+    stem = np.array([" bomen" in " " + t for t, *_ in learn])
+    assert 2 < stem[y == 1].mean() / stem[y == 0].mean() < 20
+    m = toxicity.fit([t for t, *_ in learn], y, list(range(900)), float(y.mean()))
+    data, offsets = text_buffer(pa.array([t for t, *_ in held]))
+    doc, term, weight = m.vectors(data, offsets)
+    got = [m.score(m.vote(*m.index.nearest(term[doc == i], weight[doc == i], toxicity.NEIGHBOURS))) >= 0.7 for i in range(300)]
+    assert got == [bool(y) for _, y, _ in held]
+
+
 def test_neighbours_are_exact():
     rows = labelled(3, 500)
     m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), [i for i, *_ in rows], 0.2)
