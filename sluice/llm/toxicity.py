@@ -6,6 +6,8 @@ so stems show in any word that holds them.  From a bounded, balanced sample of l
 rows, the terms are kept that are more frequent in toxic examples than chance allows.
 Every vector also has one constant term: texts with little of those terms are near
 each other, and near the clean examples, rather than near whatever shares one term.
+A toxic example without any of the terms, and all near copies of it, have one term of
+their own instead.
 
 The index keeps postings in blocks of examples and, for every term and block, the
 greatest weight.  A query's blocks are taken by their bound, the sum of its weights
@@ -18,15 +20,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._store import bounded_batches
+from sluice.llm._store import bounded_batches, discard, stored
 from sluice.llm._text import doc_groups, hash_words, shingle_hashes, text_buffer
+from sluice.llm._worker import trimmed
 
 #: Labelled examples of each kind that the classifier is fitted on, about; beyond them an even sample by hash.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1024, 2048
@@ -34,14 +37,15 @@ TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1024, 2048
 TERMS, LEAST_Z, LEAST_RATIO, LEAST_SHARE = 2048, 4.5, 2.0, 0.015
 #: Neighbours that vote, and examples of a block.
 NEIGHBOURS, BLOCK = 15, 64
-#: Weight of the constant term.
-CONSTANT = 3.0
+#: Weight of the constant term, and of the term that near copies of a toxic example have.
+CONSTANT, COPY = 3.0, 9.0
 LENGTHS = (4, 6, 8)
 #: Times at which a term has half the weight it can have, in texts up to so many bytes; in longer ones, as many more times: they have more of everything by chance.
 HALF, SHORT = 1.5, 300
 
 _U = np.uint64
 _SEEDS = [int(x) for x in np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, 6)]
+_PAIR = [int(x) | 1 for x in np.random.Generator(np.random.PCG64(13)).integers(1, 2**63, 2)]
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -93,14 +97,24 @@ def _counted(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[at], doc[at], np.diff(np.append(at, len(key)))
 
 
-def _is_new(keys: np.ndarray, seen: set) -> bool:
-    """False for a near copy of a text seen before, by pairs of equal least shingle hashes: copies would make their chance terms look frequent."""
-    if not len(keys):
+def copy_marks(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Numbers of each text of which near copies share one: pairs of its least shingle hashes under several seeds; none without words."""
+    w = hash_words(data, offsets)
+    out = []
+    for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True):
+        keys = shingle_hashes(w.h[a:b], 3)
+        least = [int(((keys ^ _U(seed)) * _U(0x9E3779B97F4A7C15)).min()) for seed in _SEEDS] if len(keys) else []
+        out.append(np.array([(x * _PAIR[0] + y * _PAIR[1] + i * 64 + j) % (1 << 64) for i, x in enumerate(least) for j, y in enumerate(least[:i])], np.uint64))
+    return out
+
+
+def _is_new(marks: np.ndarray, seen: set) -> bool:
+    """False for a near copy of a text seen before: copies would make their chance terms look frequent."""
+    if not len(marks):
         return True
-    least = [int(((keys ^ _U(seed)) * _U(0x9E3779B97F4A7C15)).min()) for seed in _SEEDS]
-    marks = {(i, j, least[i], least[j]) for i in range(len(least)) for j in range(i)}
-    known = not marks.isdisjoint(seen)
-    seen |= marks
+    own = set(marks.tolist())
+    known = not own.isdisjoint(seen)
+    seen |= own
     return not known
 
 
@@ -145,13 +159,14 @@ class Index:
 
 @dataclass
 class Model:
-    keys: np.ndarray  # sorted terms; the constant is number len(keys)
+    keys: np.ndarray  # sorted terms; the constant is number len(keys), terms of copies follow
     idf: np.ndarray
     index: Index | None
     labels: np.ndarray
     names: np.ndarray  # ids of the examples, as evidence
     slope: float
     shift: float
+    marks: dict[int, int] = field(default_factory=dict)  # of toxic examples without terms: the number of their copies' term
 
     def __post_init__(self):
         self.maybe = np.zeros(1 << 20, bool)
@@ -173,12 +188,19 @@ class Model:
         n = len(offsets) - 1
         weight = times * (HALF + 1) / (times + HALF * np.maximum(np.diff(offsets) / SHORT, 1)[doc]) * self.idf[number]
         doc, number, weight = np.concatenate([doc, np.arange(n)]), np.concatenate([number, np.full(n, len(self.keys))]), np.concatenate([weight, np.full(n, CONSTANT)])
+        if self.marks:
+            own = [(i, g) for i, marks in enumerate(copy_marks(data, offsets)) for g in {self.marks[x] for x in marks.tolist() if x in self.marks}]
+            own = np.array(sorted(own), np.int64).reshape(-1, 2)
+            doc, number, weight = np.concatenate([doc, own[:, 0]]), np.concatenate([number, len(self.keys) + 1 + own[:, 1]]), np.concatenate([weight, np.full(len(own), COPY)])
         order = np.argsort(doc, kind="stable")
         doc, number, weight = doc[order], number[order], weight[order]
         return doc, number, weight / np.sqrt(np.bincount(doc, weight**2, n))[doc]
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (1.0001 - np.minimum(cosines, 1.0)) if len(ids) else np.zeros(0)
+        if len(ids) > NEIGHBOURS:  # all as near as the last share the votes that are left: thousands of them do not outvote a copy
+            ties = cosines <= cosines[NEIGHBOURS - 1] + 1e-12
+            w[ties] *= (NEIGHBOURS - (~ties).sum()) / ties.sum()
         return float((w * self.labels[ids]).sum() / w.sum()) if len(ids) else 0.0
 
     def score(self, vote: float) -> float:
@@ -214,18 +236,19 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge:
 def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Model:
     """A model of some examples; `share` is that of toxic rows among all labelled ones, for document frequencies and calibration."""
     labels = np.asarray(labels, np.float64)
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    if not n1:
+    if not labels.sum():
         return _empty()
     data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    found, many, copies = [[], []], 256, set()
+    found, many, copies, sizes, marks = [[], []], 256, (set(), set()), [0, 0], []
     for i in range(0, len(texts), many):
         j = min(len(texts), i + many)
         key, doc, _ = _counted(*terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-        w = hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        new = np.array([_is_new(shingle_hashes(w.h[a:b], 3), copies) for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True)], bool)
+        own = copy_marks(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        new = np.array([_is_new(m, copies[int(y)]) for m, y in zip(own, labels[i:j], strict=True)], bool)
+        marks += own
         for y in (0, 1):
             found[y].append(np.unique(key[(labels[i + doc] == y) & new[doc]], return_counts=True))
+            sizes[y] += int((new & (labels[i:j] == y)).sum())
 
     def total(parts):
         keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -234,6 +257,7 @@ def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Mode
     (key0, df0), (keys, df1) = total(found[0]), total(found[1])
     at = np.minimum(np.searchsorted(key0, keys), max(len(key0) - 1, 0))
     other = np.where(key0[at] == keys, df0[at], 0) if len(key0) else np.zeros(len(keys))
+    n0, n1 = sizes  # like the counts of terms, without near copies
     p1, p0 = df1 / n1, other / max(n0, 1)
     p = (df1 + other + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / max(n0, 1)))
@@ -243,17 +267,29 @@ def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Mode
     keys = keys[good]
     idf = 1 + np.log(1 / np.maximum(share * p1[good] + (1 - share) * p0[good], 1e-6))
     model = Model(keys, idf, None, labels, np.asarray(names), 0.0, 0.0)
-    vectors = [], [], []
-    for i, j in doc_groups(offsets):
-        d, t, w = model.vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        for out, x in zip(vectors, (d + i, t, w), strict=True):
-            out.append(x)
-    doc, term, weight = map(np.concatenate, vectors)
-    model.index = Index(doc, term, weight, len(texts), len(keys) + 1)
+
+    def vectors():
+        parts = [], [], []
+        for i, j in doc_groups(offsets):
+            d, t, w = model.vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for out, x in zip(parts, (d + i, t, w), strict=True):
+                out.append(x)
+        return map(np.concatenate, parts)
+
+    doc, term, weight = vectors()
+    groups = 0
+    for i in np.flatnonzero((np.bincount(doc, minlength=len(texts)) == 1) & (labels == 1)):
+        group = min((model.marks[x] for x in marks[i].tolist() if x in model.marks), default=groups)
+        groups = max(groups, group + 1) if len(marks[i]) else groups
+        for x in marks[i].tolist():
+            model.marks.setdefault(x, group)
+    if groups:
+        doc, term, weight = vectors()
+    model.index = Index(doc, term, weight, len(texts), len(keys) + 1 + groups)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     votes = np.array([model.vote(*model.index.nearest(term[a:b], weight[a:b], NEIGHBOURS, i)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
     # Examples count as their kind does among all labelled rows.
-    a, b = calibrate(votes, labels, np.where(labels == 1, share / n1, (1 - share) / max(n0, 1)) * len(labels))
+    a, b = calibrate(votes, labels, np.where(labels == 1, share / labels.sum(), (1 - share) / max((1 - labels).sum(), 1)) * len(labels))
     model.slope, model.shift = float(a), float(b)
     return model
 
@@ -261,21 +297,48 @@ def fit(texts: list[str], labels: np.ndarray, names: list, share: float) -> Mode
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC_EXAMPLES, clean: int = CLEAN_EXAMPLES) -> Model:
     """Fit on about `toxic` and `clean` labelled documents, or all if fewer.
 
-    Only the sampled documents reach the driver.  Rows without text, id or label are no
-    examples; of several labels of a document the greatest counts, of several texts the least.
+    Beyond them the sample is over distinct texts, near copies mostly counting as one, so a
+    group of copies takes no more of it than any other text.  Only the sampled documents
+    reach the driver.  Rows without text, id or label are no examples; of several labels
+    of a document the greatest counts, of several texts the least.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if not sizes.get(1):
         return _empty()
-    rate = {1: min(1.0, toxic / sizes[1]), 0: min(1.0, clean / max(sizes.get(0, 1), 1))}
-    drawn = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]) * (1 << 30))
+    most = {1: toxic, 0: clean}
+    over = [y for y in sizes if sizes[y] > most[y]]
+    drawn = marked.where(~F.col("y").isin(over)) if over else marked
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
+    if over:
+        kind = dict(texts.dtypes)["id"]
+        keyed = texts.where("id is not null").mapInArrow(trimmed(_copy_keys), f"id {kind}, key long").join(marked.where(F.col("y").isin(over)), "id")
+        distinct = stored(keyed.groupBy("key", "y").agg(F.min("id").alias("id")))
+        kinds = {r["y"]: r["count"] for r in distinct.groupBy("y").count().collect()}
+        rate = F.lit(0.0)
+        for y, n in kinds.items():
+            rate = F.when(F.col("y") == y, min(1.0, most[y] / n)).otherwise(rate)
+        drawn = drawn.union(distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < rate * (1 << 30)).select("id", "y").distinct())
     # The sample is bounded, so it is what is sent to the documents.
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").toArrow()
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").toArrow()
+    if over:
+        discard(distinct)
     share = sizes[1] / (sizes[1] + sizes.get(0, 0))
     return fit(rows["text"].to_pylist(), rows["y"].to_numpy().astype(np.float64), rows["id"].to_pylist(), share)
 
 
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key): the least hash of a text's five-word shingles, which most near copies share."""
+    for b in batches:
+        data, offsets = text_buffer(b.column("text"))
+        keys = []
+        for i, j in doc_groups(offsets):
+            w = hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            keys += [int(shingle_hashes(w.h[p:q], 5).min()) >> 1 if q > p else 0 for p, q in zip(w.ptr[:-1], w.ptr[1:], strict=True)]
+        yield pa.record_batch([b.column("id"), pa.array(keys, pa.int64())], ["id", "key"])
+
+
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted and evidence (the nearest examples' ids and cosines, three at most) of every row.
 

@@ -144,6 +144,45 @@ def test_stems_of_a_small_language_stay():
     assert got == [bool(y) for _, y, _ in held]
 
 
+def copies(n, group, seed=5):
+    """Rows whose toxic kind is in a few, beside `group` near copies of one toxic text of plain words."""
+    rng = random.Random(seed)
+    plain = lambda k: [rng.choice(EN) + rng.choice(DE) for _ in range(k)]
+    one, out = plain(80), []
+    for i in range(n):
+        w, bad = plain(rng.randrange(30, 60)), i % 10 == 0
+        if bad:
+            w[::9] = ["scum" if i % 200 == 0 else "idiot"] * len(w[::9])
+        out.append((" ".join(w), int(bad)))
+    for _ in range(group):
+        w = list(one)
+        w[rng.randrange(80)] = rng.choice(EN)
+        out.append((" ".join(w), 1))
+    return out, one, plain
+
+
+def test_copies_count_once_and_find_each_other():
+    rows, one, plain = copies(1200, 600)
+    y = np.array([y for _, y in rows])
+    m = toxicity.fit([t for t, _ in rows], y, list(range(len(rows))), float(y.mean()))
+    other = list(one)
+    other[3], other[40] = "theder", "zuof"
+    probes = [" ".join(one), " ".join(other), " ".join(plain(50) + ["scum"] * 6), " ".join(plain(50) + ["idiot"] * 6), " ".join(plain(50)), ""]
+    data, offsets = text_buffer(pa.array(probes))
+    doc, term, weight = m.vectors(data, offsets)
+    got = [m.score(m.vote(*m.index.nearest(term[doc == i], weight[doc == i], toxicity.NEIGHBOURS))) >= 0.7 for i in range(len(probes))]
+    assert got == [True, True, True, True, False, False]
+
+
+def test_sample_is_of_distinct_texts(spark):
+    rows, *_ = copies(600, 600)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels, toxic=60, clean=200)
+    drawn = m.names[m.labels == 1]
+    assert (drawn < 600).sum() > 0.4 * len(drawn) and len(drawn) > 25
+
+
 def test_neighbours_are_exact():
     rows = labelled(3, 500)
     m = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), [i for i, *_ in rows], 0.2)
