@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from sluice.llm import language_id, mixing, ngram_join, packing, substring_dedup
 from sluice.llm._store import stored
 
-#: Documents whose language is less sure than this are rejected, as those without a letter are.
-LEAST_SCORE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognisable language; it is learned from those that name theirs."""
+    """Documents with a recognisable language; it is learned from those that name theirs.
+
+    The score does not matter: it falls with a text's length and with the number of languages.
+    """
     kept = {c: f"d{i}" for i, c in enumerate(docs.columns)}
     found = language_id.predict(docs.select(*[F.col(c).alias(k) for c, k in kept.items()]), language_id.train(docs), id_col=kept["doc_id"], text_col=kept["text"], keep=list(kept.values()))
-    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return sure.select(*[F.col(k).alias(c) for c, k in kept.items()])
+    return found.where("lang_pred <> 'und'").select(*[F.col(k).alias(c) for c, k in kept.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,16 @@ def test_stages(spark, table):
     assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
 
 
+def test_short_documents_stay(spark):
+    rng = random.Random(4)
+    # Languages with the same words: no text is more sure than one of four.
+    rows = [(i, " ".join(rng.choice(EN) for _ in range(40)), f"l{i % 4}") for i in range(80)]
+    rows += [(100 + i, t, None) for i, t in enumerate(["This.", "A.", "Re.", "In. The.", "is as", "12 %", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").collect()}
+    assert got == set(range(80)) | {100, 101, 102, 103, 104}
+
+
 def test_run(spark, table, tmp_path):
     assert corpus_pipeline.run(spark, table).count() > 0 and 4 <= len(corpus_pipeline.STAGES) <= 5
     empty = str(tmp_path / "none")
