@@ -297,8 +297,10 @@ class _Join:
         self.described = both.where("size >= 0").select("doc_id", "size", "sig")
         total = self.described.agg(F.sum("size")).first()[0] or 0
         self.order = self.spark.sparkContext.broadcast(_frequent(both, total))
-        # One node per set, named by its least document.
-        self.nodes = stored(both.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits"), F.min("size").alias("size")))
+        # One node per set, numbered by its least document, or by its signature where an id has several texts.
+        nodes = stored(both.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.min("bits").alias("bits"), F.min("size").alias("size")))
+        self.repeated = nodes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+        self.nodes = nodes.withColumn("node", F.xxhash64("sig") if self.repeated else F.col("doc"))
 
     def postings(self) -> DataFrame:
         """Entries of the lists of prefix n-grams that more than one set has."""
@@ -349,6 +351,8 @@ class _Join:
         full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(self.alike("bits_a", "bits_b", "size_a", "size_b")))
         wanted = stored(full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
+        if self.repeated:
+            ids = self.nodes.join(ids, F.col("node") == ids["doc_id"], "left_semi").select(F.col("doc").alias("doc_id")).distinct()
         many = ids.count()
         if not many:
             return wanted
@@ -362,14 +366,14 @@ class _Join:
                 columns = [pa.array([f(s) for s in held], pa.binary()) for f in (signature, wide_parities, np.ndarray.tobytes)]
                 yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "sig", "bits", "grams"])
 
-        own = self.nodes.select("sig", F.col("node").alias("doc_id"))
-        found = chosen.mapInArrow(trimmed(sets), "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"])
-        found = stored(found.select("doc_id", "bits", F.expr("octet_length(grams) div 8").alias("size"), "grams"))
+        own = self.nodes.select("sig", F.col("doc").alias("doc_id"), "node")
+        found = chosen.mapInArrow(trimmed(sets), "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"]).dropDuplicates(["node"])
+        found = stored(found.select("node", "bits", F.expr("octet_length(grams) div 8").alias("size"), "grams"))
         threshold = self.threshold
 
         def both(pairs: DataFrame, *columns: str) -> DataFrame:
             for k in ("a", "b"):
-                pairs = pairs.join(found.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
+                pairs = pairs.join(found.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
             return pairs
 
         def alike(batches):
@@ -408,7 +412,11 @@ class _Join:
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
         final = components(edges) if second.limit(1).count() else roots
         discard(lists, first, rest, second, *([roots] if final is not roots else []))
-        named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", F.coalesce("root", self.nodes["node"]).alias("component_id"))
+        named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", "doc", F.coalesce("root", self.nodes["node"]).alias("component_id"))
+        if self.repeated:  # the least document, as nodes are not numbered by theirs
+            least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
+            named = named.join(least, "component_id").select("sig", F.col("least").alias("component_id"))
+        named = named.select("sig", "component_id")
         return self.described.join(named, "sig", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

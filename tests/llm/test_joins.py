@@ -68,6 +68,17 @@ def test_components_are_those_of_all_links(spark, monkeypatch, n, t, longest):
     assert got == components(rows, n, t.numerator, t.denominator)
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(6):  # an id with three texts, each with a near copy before or after it
+        for k in range(3):
+            w = [f"w{rng.randrange(500)}" for _ in range(100)]
+            rows += [(100 + i, " ".join(w)), (10 * i + k if k < 2 else 200 + i, " ".join(w + ["end"]))]
+    got = Counter(map(tuple, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, threshold=Fraction(9, 10)).collect()))
+    assert got == components(rows, 3, 9, 10)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(df).collect() == []
