@@ -94,7 +94,8 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: flo
     _, w = temper(by_source, budget, target_entropy=target, most_repeats=most_repeats)
     quota = {}
     for s, t in by_source.items():
-        full, part = divmod(int(w[s] * budget), t) if t else (1, 0)
+        # in whole tokens; what a float falls short of a whole epoch by is no document's loss
+        full, part = divmod(round(w[s] * budget), t) if t else (1, 0)
         quota[s] = (full, part)
     plan = spark.createDataFrame([(s, f, p) for s, (f, p) in quota.items()], "__source string, full int, part long")
 

@@ -97,3 +97,11 @@ def test_nearest(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2, pytest.approx(2**0.5))]
     assert ann.nearest(few.limit(0), few.limit(0)).collect() == [] and few.where(~ann.usable(F.col("embedding"))).count() == 0
+
+
+def test_a_source_whose_quota_is_its_tokens_is_drawn_in_full(spark):
+    # Nearly uniform: no power meets the entropy target, so each weight is the source's own share.
+    rows = [(10 * s + i, f"s{s}", " ".join(["w"] * (50 + s + i))) for s in range(30) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r["doc_id"] for r in mixing.mix(docs, target_entropy_share=0.97).collect()]
+    assert sorted(got) == sorted(d for d, *_ in rows)
