@@ -14,10 +14,18 @@ before whole sets are sent.  A suffix filter compares the sets by halves, and ea
 pair that is left is verified once on whole sets.
 
 A group of thousands of near copies would make a pair for each two of them.  So
-pairs are verified in two steps: first each set with the closest, by bitmap, of those
-near it in the lists of its rarest n-grams, a few for each set; what these links join is then one
-component, and the second step takes up only pairs across components.  Links within
-a component do not change it, so the components are those of all links.
+pairs are verified in rounds: each set with the closest, by bitmap, of those near it
+in the lists of its rarest n-grams, a few for each set; what these links join is then
+one component.  Later rounds take up only pairs across components, in more lists and
+among other neighbours, as long as they join much.  The last step takes up all pairs
+across components that are left.  Links within a component do not change it, so the
+components are those of all links.
+
+In the last step the shorter set of a pair comes with the first n-grams that it could
+lack and one more, which are fewer than its prefix.  An n-gram of a set's prefix
+that no other prefix has is not in any set whose prefix reaches as far, so each
+set knows how many of its n-grams another one surely lacks up to some places in the
+order.  That ends pairs of long texts that share a passage and nothing else.
 """
 
 from __future__ import annotations
@@ -46,8 +54,12 @@ BROADCAST_ROWS = 200_000
 LONGEST_LIST = 1024
 #: Bits of a set's bitmap.
 BITMAP = 1024
-#: In the first step: lists of each set, by rarity; entries before it in a list that a set is held against; those of them that it is verified with.
-LISTS, STRETCH, NEIGHBOURS = 4, 64, 2
+#: In the rounds: lists of each set in the first one and in later ones, by rarity; entries before it in a list that a set is held against; those of them that it is verified with.
+LISTS, MORE_LISTS, STRETCH, NEIGHBOURS = 4, 16, 64, 2
+#: Links that a round must find for another one to follow.
+WORTH_A_ROUND = 1000
+#: Places in the order, as shares of all hashes in units of (1 - threshold), up to which n-grams that others lack are counted.
+PLACES = (0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0, 1.1, 1.25, 1.5, 2.0, 3.0, 4.5)
 
 
 def gram_sets(texts: pa.Array, n: int, fold: bool = True) -> Iterator[np.ndarray]:
@@ -187,7 +199,7 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
     """(gram, part, sig, size, pos) of the prefix of each set, once per task and set.
 
     The list of an n-gram that is known in more than `longest` sets is in parts, by
-    signature; -1 where it is whole.
+    signature; where it is whole, part is -1, or -2 if the n-gram is a frequent one.
     """
 
     def batch(rows):
@@ -207,7 +219,7 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
                 grams, counts = (x[:k] for x in rare.sort(s))
                 own = int.from_bytes(sig[:4])
                 rows[0].append(grams)
-                rows[1].append(np.where(counts > longest, own % (counts // longest + 1), -1).astype(np.int32))
+                rows[1].append(np.where(counts > longest, own % (counts // longest + 1), np.where(counts > 0, -2, -1)).astype(np.int32))
                 rows[2].extend([sig] * k)
                 rows[3].append(np.full(k, len(s), np.int32))
                 rows[4].append(np.arange(k, dtype=np.int32))
@@ -222,34 +234,34 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
 
 
 def _neighbours(threshold: Threshold):
-    """For each entry of a sorted list, the closest by bitmap of those shortly before it, NEIGHBOURS at most."""
+    """For each entry of a sorted list, the closest by bitmap of those shortly before it in another component, NEIGHBOURS at most."""
     p, q = threshold.t.numerator, threshold.t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, held_sig, held_size, held_bits = None, [], np.zeros(0, np.int64), np.zeros((0, BITMAP // 64), np.uint64)
+        gram, held_sig, held_size, held_root, held_bits = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITMAP // 64), np.uint64)
         for b in batches:
             if not b.num_rows:
                 continue
-            grams, sigs, sizes = b.column("gram").to_numpy(), b.column("sig").to_pylist(), b.column("size").to_numpy().astype(np.int64)
+            grams, sigs, sizes, roots = b.column("gram").to_numpy(), b.column("sig").to_pylist(), b.column("size").to_numpy().astype(np.int64), b.column("root").to_numpy()
             bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1)
             found = set()
             cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if grams[i] != gram:
-                    gram, held_sig, held_size, held_bits = grams[i], [], held_size[:0], held_bits[:0]
-                own_sig, own_size, own_bits = held_sig + sigs[i:j], np.concatenate([held_size, sizes[i:j]]), np.concatenate([held_bits, bits[i:j]])
+                    gram, held_sig, held_size, held_root, held_bits = grams[i], [], held_size[:0], held_root[:0], held_bits[:0]
+                own_sig, own_size, own_root, own_bits = held_sig + sigs[i:j], np.concatenate([held_size, sizes[i:j]]), np.concatenate([held_root, roots[i:j]]), np.concatenate([held_bits, bits[i:j]])
                 for k in range(len(held_sig), len(own_sig)):
                     lo = max(0, k - STRETCH)
                     if lo == k:
                         continue
                     n = own_size[lo:k] + own_size[k]
                     apart = np.bitwise_count(own_bits[lo:k] ^ own_bits[k]).sum(1, dtype=np.int64)
-                    apart = np.where(apart <= n - 2 * -(-p * n // (p + q)), apart, 1 << 30)
+                    apart = np.where((apart <= n - 2 * -(-p * n // (p + q))) & (own_root[lo:k] != own_root[k]), apart, 1 << 30)
                     for m in np.argpartition(apart, NEIGHBOURS - 1)[:NEIGHBOURS] if len(apart) > NEIGHBOURS else range(len(apart)):
                         if apart[m] < 1 << 30:
                             x, y = own_sig[lo + m], own_sig[k]
                             found.add((min(x, y), max(x, y)))
-                held_sig, held_size, held_bits = own_sig[-STRETCH:], own_size[-STRETCH:], own_bits[-STRETCH:]
+                held_sig, held_size, held_root, held_bits = own_sig[-STRETCH:], own_size[-STRETCH:], own_root[-STRETCH:], own_bits[-STRETCH:]
             found = sorted(found)
             yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
@@ -345,10 +357,18 @@ class _Join:
         apart = " + ".join(f"bit_count({bits_a}[{k}] ^ {bits_b}[{k}])" for k in range(words))
         return f"({apart}) <= {a} + {b} - 2 * ceil({p} * ({a} + {b}) / {p + q}D - 1e-9)"
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def enough(self, k: str, reach: str, lacks: str, size: str, other_reach: str, other_size: str) -> str:
+        """SQL: what the other set surely lacks of a set leaves enough for the least overlap."""
+        p, q = self.threshold.t.numerator, self.threshold.t.denominator
+        at = f"least({k}{reach}, {other_reach})"
+        return f"({k}{size} - if({at} > 0, {k}{lacks}[{at} - 1], 0)) * {p + q} >= {p} * ({k}{size} + {other_size})"
+
+    def links(self, pairs: DataFrame, lacks: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: signatures) whose sets are linked, as nodes."""
-        side = lambda k: self.nodes.select(F.col("sig").alias(k), F.col("node").alias(f"node_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("size").alias(f"size_{k}"))
-        full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(self.alike("bits_a", "bits_b", "size_a", "size_b")))
+        known = self.nodes.join(lacks, "sig")
+        side = lambda k: known.select(F.col("sig").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "bits", "size", "reach", "lacks")])
+        enough = " and ".join(self.enough("", f"reach_{k}", f"lacks_{k}", f"size_{k}", f"reach_{m}", f"size_{m}") for k, m in ("ab", "ba"))
+        full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{enough} and {self.alike('bits_a', 'bits_b', 'size_a', 'size_b')}"))
         wanted = stored(full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
         if self.repeated:
@@ -388,30 +408,80 @@ class _Join:
         discard(wanted, found, likely)
         return out
 
-    def run(self) -> DataFrame:
+    def rooted(self, df: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """`df` (sig) with the component of each set so far."""
+        own = self.nodes.select("sig", "node")
+        if roots is None:
+            return df.join(own.select("sig", F.col("node").alias("root")), "sig")
+        return df.join(own.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root")), "sig")
+
+    @staticmethod
+    def mixed(rooted: DataFrame, *key: str) -> DataFrame:
+        """Entries of the lists that hold more than one component."""
+        return rooted.join(rooted.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*key), list(key), "left_semi")
+
+    def rounds(self, lists: DataFrame, lacks: DataFrame) -> DataFrame:
+        """(node, root) of the components that links of neighbours in lists make."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        bits = self.nodes.select("sig", "bits")
+        roots, number = None, 0
+        while True:
+            entries = lists.where(F.col("rank") < (MORE_LISTS if number else LISTS)).select("gram", "part", "sig", "size")
+            entries = self.rooted(entries, roots)
+            if number:
+                entries = self.mixed(entries, "gram", "part")
+            entries = entries.join(bits, "sig").withColumn("place", F.xxhash64("sig", F.lit(number)))
+            # Sizes in bands, as those of linked sets are close; neighbours within a band change from round to round.
+            entries = entries.withColumn("band", F.expr(f"int(floor(log2(size) * 4 + {number % 2} / 2))") if number else F.col("size"))
+            near = entries.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "band", "place").select("gram", "part", "sig", "size", "root", "bits")
+            found = self.links(near.mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct(), lacks)
+            many = found.count()
+            edges = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+            if many or roots is None:
+                before, roots = roots, components(edges)
+                discard(*([before] if before is not None else []))
+            discard(found)
+            number += 1
+            if many < WORTH_A_ROUND:
+                return roots
+
+    def lacks(self, lists: DataFrame) -> DataFrame:
+        """(sig, reach, lacks): of each set, how many of PLACES its prefix surely reaches, and the n-grams up to each that no other prefix has.
+
+        Its shared n-grams tell both: as many as stand before one without being shared
+        are lacked.  Frequent n-grams come after all places.
+        """
+        cuts = [min(1.0, x * float(1 - self.threshold.t)) for x in PLACES] + [1.0]
+        at = F.shiftrightunsigned("gram", 32)
+        cut = [int(c * (1 << 32)) for c in cuts]
+        plain = F.col("part") == -1
+        counted = [F.coalesce(F.max(F.when(plain & (at < c), F.col("pos") - F.col("rank"))), F.lit(0)).alias(f"u{i}") for i, c in enumerate(cut)]
+        far = F.max(F.when(plain, at).otherwise(1 << 32)).alias("far")
+        found = lists.groupBy("sig").agg(far, *counted)
+        reach = sum((F.col("far") >= c).cast("int") for c in cut)
+        return found.select("sig", reach.alias("reach"), F.array(*[f"u{i}" for i in range(len(cut))]).alias("lacks"))
+
+    def run(self) -> DataFrame:
         lists = stored(self.postings())
-        marked = lists.where(F.col("rank") < LISTS).join(self.nodes.select("sig", "bits"), "sig").select("gram", "part", "sig", "size", "bits")
-        near = marked.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "size", "sig").mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct()
-        first = self.links(near)
-        roots = components(first)
+        lacks = stored(self.lacks(lists))
+        roots = self.rounds(lists, lacks)
         # What is left: pairs in one list, but in different components.
-        named = self.nodes.join(roots, self.nodes["node"] == roots["node"], "left").select("sig", "bits", F.coalesce("root", self.nodes["node"]).alias("root"))
-        rooted = lists.join(named.drop("bits"), "sig")
-        mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-        half = BITMAP // 128  # lists carry bitmaps folded to half their width
-        rest = stored(rooted.join(mixed, "gram", "left_semi").join(named.select("sig", F.expr(f"transform(sequence(0, {half - 1}), k -> bits[k] ^ bits[k + {half}])").alias("bits")), "sig"))
-        x, y = rest.alias("x"), rest.alias("y")
+        rest = self.mixed(self.rooted(lists, roots), "gram").join(lacks, "sig").join(self.nodes.select("sig", "bits"), "sig")
+        rest = stored(rest.select("gram", "sig", "root", "size", "pos", "reach", "lacks", "bits"))
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
-        # The shorter is x; equal lengths by signature.
+        # The shorter is x; equal lengths by signature. It has a common n-gram among the first that it could lack with a set as long, and one more.
+        x = rest.where(f"(size - pos) * {p + q} >= {2 * p} * size").alias("x")
+        y = rest.alias("y")
         size = f"(x.size < y.size or (x.size = y.size and x.sig < y.sig)) and x.size * {q} >= y.size * {p}"
-        place = f"(least(x.rank, y.rank) + least(x.size - x.pos, y.size - y.pos)) * {p + q} >= {p} * (x.size + y.size)"
-        alike = self.alike("x.bits", "y.bits", "x.size", "y.size", half)
-        pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-        second = self.links(pairs)
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
-        final = components(edges) if second.limit(1).count() else roots
-        discard(lists, first, rest, second, *([roots] if final is not roots else []))
+        # For the first common n-gram, all overlap is to come.
+        place = f"least(x.size - x.pos, y.size - y.pos) * {p + q} >= {p} * (x.size + y.size)"
+        enough = " and ".join(self.enough(f"{k}.", "reach", "lacks", "size", f"{m}.reach", f"{m}.size") for k, m in ("xy", "yx"))
+        alike = self.alike("x.bits", "y.bits", "x.size", "y.size")
+        pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {enough} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+        last = self.links(pairs, lacks)
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last)
+        final = components(edges) if last.limit(1).count() else roots
+        discard(lists, lacks, rest, last, *([roots] if final is not roots else []))
         named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", "doc", F.coalesce("root", self.nodes["node"]).alias("component_id"))
         if self.repeated:  # the least document, as nodes are not numbered by theirs
             least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
