@@ -7,6 +7,8 @@ Python string is made and memory does not follow the size of a batch.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +31,10 @@ SPACE = _separators(b" \t\n\x0b\x0c\r")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_ODD = 0x9E3779B97F4A7C15
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, np.uint64)
+#: Two lanes of constants: first value, multiplier and increment of a word's hash.
+_LANES = tuple(tuple(_U(x) for x in lane) for lane in np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, (2, 3), np.uint64) | _U(1))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,23 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SEGMENT + (1 << 16))
-        _POWERS["up"] = _powers(size, _ODD)
-        _POWERS["down"] = _powers(size, pow(_ODD, -1, 2**64))
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values and the offsets between them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,22 +81,36 @@ class Words:
         self.h, self.start, self.end, self.ptr = h, start, end, ptr
 
 
-def _hash_segment(data, is_word, first, last, fold):
+def _hash_segment(data, first, last, fold, lane):
+    """Hashes of words, eight bytes at a time: each is mixed into what came before, so no arithmetic relation between words survives."""
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    up, down = _tables(len(data))
-    v = _BYTE[fold[data] if fold is not None else data]
-    v *= up[: len(data)]
-    c = np.empty(len(data) + 1, np.uint64)
-    c[0] = 0
-    np.cumsum(v, out=c[1:])
-    return mix((c[ends] - c[starts]) * down[starts]), starts, ends
-
-
-def hash_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray | None = None) -> Words:
+    seed, odd, step = _LANES[lane]
+    own = np.zeros(len(data) + 8, np.uint8)
+    own[: len(data)] = fold[data] if fold is not None else data
+    eight = np.ndarray((len(data) + 1,), "<u8", own, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    h = np.full(len(starts), seed, np.uint64) ^ (length.astype(np.uint64) * step)
+    at, some = 0, np.flatnonzero(length <= LONG_WORD)
+    while len(some):
+        x = eight[starts[some] + at]
+        left = np.minimum(length[some] - at, 8)
+        x = x & (_U(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        h[some] = mix((h[some] ^ x) * odd + step)
+        at += 8
+        some = some[length[some] > at]
+    for i in np.flatnonzero(length > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(own[starts[i] : ends[i]].tobytes(), digest_size=16).digest()[8 * lane : 8 * lane + 8])
+    return h, starts, ends
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray | None = None, lane: int = 0) -> Words:
     """A 64-bit hash of every word, in order; equal words (after `fold`) have equal hashes anywhere.
 
+    Words of up to eight bytes and of one length differ in it for certain.  The hashes of
+    the two lanes are independent: together they name a word by 128 bits.
+
     Words never cross documents.  Long inputs are cut at separators, so a text of
     any length needs memory for one segment and for its own words.
     """
@@ -134,7 +135,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = S
                 while not last[to - 1]:
                     ahead = np.flatnonzero(last[to : to + SEGMENT])
                     to = to + int(ahead[0]) + 1 if len(ahead) else min(n, to + SEGMENT)
-        h, s, e = _hash_segment(data[at:to], is_word[at:to], first[at:to], last[at:to], fold)
+        h, s, e = _hash_segment(data[at:to], first[at:to], last[at:to], fold, lane)
         hs.append(h)
         ss.append(s + at)
         es.append(e + at)

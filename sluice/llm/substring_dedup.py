@@ -12,7 +12,8 @@ So a window of words that occurs twice has only symbols in it, of those whose re
 it holds, that occur twice.  One Spark round counts symbols over the corpus, each
 chunk of documents telling each hash range which it has and hearing which of them
 others have too.  Windows with a symbol that occurs once are out.  A second round
-of the same form verifies the rest by the 128-bit hashes of their word sequences.
+of the same form verifies the rest by 128 bits of their word sequences, from two
+independent hashes of every word's bytes, both compared.
 Chunks send a symbol or window twice at most, so one that is everywhere is no
 burden, and nothing pairs up its places.
 """
@@ -32,6 +33,8 @@ from sluice.llm._text import doc_groups, hash_words, mix, text_buffer
 from sluice.llm._worker import release
 
 _U = np.uint64
+#: Bytes of text in a chunk, about.
+CHUNK = 1 << 23
 #: Rounds of pairs, and most words that a symbol spans.
 ROUNDS, SPAN = 7, 16
 _SALT = np.random.Generator(np.random.PCG64(4711)).integers(1, 2**64, 64, np.uint64) | _U(1)
@@ -92,13 +95,13 @@ def recompress(words: np.ndarray, ptr: np.ndarray, rounds: int = ROUNDS, span: i
     return name, low, high
 
 
-def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every `window` consecutive words."""
-    n = len(words) - window + 1
+def window_hashes(lanes: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every `window` consecutive words, each from a lane of word hashes of its own."""
+    n = len(lanes[0]) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     out = []
-    for k in (30, 40):
+    for k, words in zip((30, 40), lanes, strict=True):
         # by doubling: hashes of 1, 2, 4 ... words, joined to the window's length
         total, done, power = None, 0, mix(words + _SALT[k])
         size, rest = 1, window
@@ -119,6 +122,7 @@ class _Group:
     """Words of some documents, and places of their windows."""
 
     def __init__(self, data, offsets, window):
+        self.data, self.offsets = data, offsets
         self.w = hash_words(data, offsets)
         self.window = window
         n = len(self.w.h)
@@ -127,6 +131,10 @@ class _Group:
             if b - a >= window:
                 self.fits[a : b - window + 1] = True
 
+    def windows(self):
+        """128 bits of the bytes of every window."""
+        return window_hashes((self.w.h, hash_words(self.data, self.offsets, lane=1).h), self.window)
+
     def symbols(self):
         name, low, high = recompress(self.w.h, self.w.ptr)
         ok = high - low <= self.window
@@ -173,11 +181,31 @@ def _sorted_pairs(x: np.ndarray) -> np.ndarray:
     return x[np.lexsort((x["b"], x["a"]))]
 
 
+def _new_pairs(x: np.ndarray, by: int) -> np.ndarray:
+    """Of sorted pairs, whether each differs from the one `by` places before it."""
+    new = np.ones(len(x), bool)
+    new[by:] = (x["a"][by:] != x["a"][:-by]) | (x["b"][by:] != x["b"][:-by])
+    return new
+
+
 def _twice_pairs(x: np.ndarray) -> np.ndarray:
     x = _sorted_pairs(x)
-    keep = np.ones(len(x), bool)
-    keep[2:] = (x["a"][2:] != x["a"][:-2]) | (x["b"][2:] != x["b"][:-2])
-    return x[keep]
+    return x[_new_pairs(x, 2)]
+
+
+def _within_pairs(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each pair is in a sorted table; both halves are compared."""
+    found = np.zeros(len(x), bool)
+    if not len(table) or not len(x):
+        return found
+    a, b = np.ascontiguousarray(table["a"]), np.ascontiguousarray(table["b"])
+    at = np.searchsorted(a, x["a"])
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    for _ in range(int(np.diff(np.append(starts, len(a))).max())):  # once, unless first halves agree by chance
+        i = np.minimum(at, len(a) - 1)
+        found |= (a[i] == x["a"]) & (b[i] == x["b"])
+        at = at + 1
+    return found
 
 
 def _deal(chunk: int, first: np.ndarray, payload: np.ndarray, buckets: int) -> pa.Table:
@@ -198,15 +226,12 @@ def _answer(kind: np.dtype):
         x = np.concatenate(parts)
         if kind.names:
             x = _sorted_pairs(x)
-            same = (x["a"][1:] == x["a"][:-1]) & (x["b"][1:] == x["b"][:-1])
+            repeated = x[~_new_pairs(x, 1)]
+            kept = [p[_within_pairs(p, repeated)] for p in parts]
+            kept = [p[_new_pairs(p, 1)] for p in kept]  # parts come sorted
         else:
             x = np.sort(x)
-            same = x[1:] == x[:-1]
-        repeated = x[1:][same]
-        if kind.names:
-            fold = np.unique(_fold(repeated))
-            kept = [np.unique(p[_within(_fold(p), fold)]) if len(p) else p for p in parts]
-        else:
+            repeated = x[1:][x[1:] == x[:-1]]
             kept = [np.unique(p[_within(p, repeated)]) for p in parts]
         some = [i for i, k in enumerate(kept) if len(k)]
         return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int32()), "payload": pa.array([kept[i].tobytes() for i in some], pa.binary())})
@@ -214,11 +239,6 @@ def _answer(kind: np.dtype):
     return run
 
 
-def _fold(x: np.ndarray) -> np.ndarray:
-    """Both halves of a pair in one number; within one bucket's few values, and only to compare them."""
-    return mix(x["a"] + mix(x["b"] ^ _SALT[50]))
-
-
 _PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 
@@ -235,13 +255,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     removed; what is left is joined by single spaces.  All is judged on the input, so
     every copy of a repeated passage goes.  Null and empty texts have no words; texts
     shorter than a window stay.  Rows that repeat an id, and rows without one, are
-    documents like any other.
+    documents like any other.  A very long text is read a few words at a time, in one
+    task.  An empty table gives no row.  Other columns may have any names; those of
+    `keep` that are called like the columns added are given beside them.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = [id_col] if keep is None else keep
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = parts  # a chunk tells every hash range at most once, so there are as many rows as chunks times ranges
+    # Chunks and hash ranges are as many as the text asks for, so what a task holds does not grow with the corpus.
+    # A chunk tells a range at most once, and not without a value in it: no more rows than distinct values.
+    total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+    parts = chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK))
     kept = [(F.lit(None).cast(docs.schema[c].dataType) if c == text_col else docs[c]).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text", *[f"k{i}" for i in range(len(keep))]), F.lit(chunks)).cast("int"))
@@ -260,14 +284,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
         for g in _groups(t, window):
             at = g.candidates(repeated)
             if len(at):
-                a, b = window_hashes(g.w.h, window)
+                a, b = g.windows()
                 found.append(_pairs(a[at], b[at]))
         x = _twice_pairs(np.concatenate(found))
         chunk = t.column("chunk")[0].as_py() if t.num_rows else 0
         return _deal(chunk, x["a"], x, chunks)
 
     def cut(t: pa.Table, heard: pa.Table) -> pa.Table:
-        repeated = np.sort(_fold(_heard(heard, _PAIR)))
+        repeated = _sorted_pairs(_heard(heard, _PAIR))
         texts = t.column("text")
         data, offsets = text_buffer(texts)
         n_words, n_removed, shas, left = [], [], [], []
@@ -276,8 +300,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
             g = _Group(own, offsets[i : j + 1] - offsets[i], window)
             gone = np.zeros(len(g.w.h) + 1, np.int64)
             if len(repeated) and g.fits.any():
-                a, b = window_hashes(g.w.h, window)
-                hit = np.flatnonzero(g.fits & _within(_fold(_pairs(a, b)), repeated))
+                a, b = g.windows()
+                hit = np.flatnonzero(g.fits & _within_pairs(_pairs(a, b), repeated))
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + window, -1)
             gone = np.cumsum(gone)[:-1] > 0

@@ -5,7 +5,8 @@ from fractions import Fraction
 
 import pytest
 
-from sluice.llm import _graph, ngram_join, substring_dedup
+from sluice.llm import _graph, fingerprints, ngram_join, substring_dedup
+from test_text import thue_morse
 
 
 def words_of(t):
@@ -79,6 +80,41 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
     assert got == components(rows, 3, 9, 10)
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_under_polynomials(spark, n):
+    x, y = thue_morse(n), thue_morse(n, True)
+    rest = [f"w{i}" for i in range(40)]
+    one = " ".join(w for i in range(38) for w in (x, rest[i]))
+    docs = spark.createDataFrame([(1, one), (2, one.replace(x, y))], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in ngram_join.jaccard_components(docs, n=3).collect()) == [1, 2]
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs, window=35).collect()] == [0, 0]
+    assert len({r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()}) == 2
+
+
+def test_groups_of_alike_texts(spark, monkeypatch):
+    """Thousands of texts alike below the threshold: the pairs that are verified grow with the texts, not their square."""
+    asked, links = [], ngram_join._Join.links
+    monkeypatch.setattr(ngram_join._Join, "links", lambda self, pairs, lacks: (asked.append(pairs.count()), links(self, pairs, lacks))[1])
+    monkeypatch.setattr(ngram_join, "WORTH_A_ROUND", 10)
+    rng = random.Random(1)
+    rows = []
+    for i in range(1500):
+        w = [f"b{k}" for k in range(300)]
+        for _ in range(6 if i < 1200 else 3):  # two of the first are 0.7 alike, two of the others 0.82
+            w[rng.randrange(300)] = f"n{i} {rng.random()}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, " ".join(f"d{i}x{k}" for k in range(3000)) + " " + " ".join(f"p{k}" for k in range(60))) for i in range(300)]  # long texts that share a passage
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n=5).collect()
+    assert sum(asked) < 3 * len(rows)
+    sets = [grams(t, 5) for _, t in rows[1180:1260]]
+    at = {r["doc_id"]: r["component_id"] for r in got}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 10 * len(x & y) >= 8 * len(x | y):
+                assert at[1180 + i] == at[1180 + j]
+    assert all(at[d] == d for d in range(2000, 2300)) and len({at[d] for d in range(1200, 1500)}) < 30
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(df).collect() == []

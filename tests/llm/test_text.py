@@ -25,6 +25,23 @@ def test_words_are_those_of_split(texts, segment):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n, other=False):
+    """Strings that collide under any polynomial modulo a power of two."""
+    s = "ab"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s.translate(str.maketrans("ab", "ba")) if other else s
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 128, 1024, 2048, 4096])
+def test_words_that_collide_under_polynomials(n):
+    data, offsets = _text.text_buffer(pa.array([thue_morse(n), thue_morse(n, True), "x", thue_morse(n)]))
+    for lane in (0, 1):
+        h = _text.hash_words(data, offsets, lane=lane).h
+        assert len(set(h.tolist())) == 3 and h[0] == h[3]
+    assert set(h.tolist()).isdisjoint(_text.hash_words(data, offsets).h.tolist())
+
+
 def test_buffers_of_slices_and_nulls():
     a = pa.array(["xx", None, "y z", "é"], pa.large_string())[1:]
     data, offsets = _text.text_buffer(a)
