@@ -52,7 +52,9 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to tempered source weights, some more than once, others not at all."""
-    return mixing.mix(docs, target_entropy_share=0.97, most_repeats=4.0).select(*docs.columns)
+    kept = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    drawn = mixing.mix(docs.select(*[F.col(c).alias(k) for c, k in kept.items()]), target_entropy_share=0.97, most_repeats=4.0, id_col=kept["doc_id"], source_col=kept["source"], text_col=kept["text"])
+    return drawn.select(*[F.col(k).alias(c) for c, k in kept.items()])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

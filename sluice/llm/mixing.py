@@ -24,11 +24,13 @@ BLOCK_BITS = 8
 #: Sources up to which their weights are broadcast (under 100 bytes each); more are joined.
 BROADCAST_SOURCES = 50_000
 _NO_SOURCE = "\x00"
+#: Columns that `mix` adds.
+MADE = ("mix_tokens", "mix_epoch", "mix_block", "mix_order")
 
 
-def words() -> Column:
+def words(text: Column) -> Column:
     """Number of words, as a measure of tokens."""
-    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def weights(shares: dict[str, float], power: float) -> dict[str, float]:
@@ -70,23 +72,26 @@ def temper(tokens: dict[str, int], budget: float, *, target_entropy: float | Non
 
 def _unit(seed: int, epoch: Column) -> Column:
     """A document's place in the order of an epoch: 62 bits, as good as random."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col("key")), 2)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col("__key")), 2)
 
 
-def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: float | None = None, most_repeats: float | None = None, tokens: Column | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: float | None = None, most_repeats: float | None = None, tokens: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
     """All columns of `docs`, once per copy drawn, with mix_tokens, mix_epoch, mix_block and mix_order.
 
+    Columns of `docs` may have any names, but those four are replaced.
+
     `budget` in tokens is that of the documents if not given; the entropy target is a
     share of the most that so many sources can have.  A source's tokens come within one
     document of its quota, from below.  Null sources are one source; a source without any
     tokens is drawn once.  Within a source and epoch, ascending
-    mix_order is the permutation, block by block.  Rows that share an id keep together
+    mix_order is the permutation, block by block; ties of it are equal rows.  Rows that share an id keep together
     unless their texts differ; all are counted.
     """
     spark = docs.sparkSession
-    own = [docs[c] for c in docs.columns]
-    counted = docs.select(*own, F.coalesce(docs[source_col].cast("string"), F.lit(_NO_SOURCE)).alias("__source"), (words() if tokens is None else tokens).alias("mix_tokens"), F.xxhash64(*[docs[c] for c in docs.columns if c in (id_col, "text")]).alias("key"))
-    small = stored(counted.select("__source", "mix_tokens", "key"))
+    kept = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in MADE}  # inside, no name of a caller's column can be one of ours
+    named = [docs[c].alias(k) for c, k in kept.items()]
+    counted = docs.select(*named, F.coalesce(docs[source_col].cast("string"), F.lit(_NO_SOURCE)).alias("__source"), (words(docs[text_col]) if tokens is None else tokens).alias("mix_tokens"), F.xxhash64(*[docs[c] for c in docs.columns if c in (id_col, text_col)]).alias("__key"))
+    small = stored(counted.select("__source", "mix_tokens", "__key"))
     by_source = {r["__source"]: int(r["t"]) for r in small.groupBy("__source").agg(F.sum("mix_tokens").alias("t")).collect()}
     total = sum(by_source.values())
     budget = total if budget is None else budget
@@ -97,14 +102,14 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: flo
         # in whole tokens; what a float falls short of a whole epoch by is no document's loss
         full, part = divmod(round(w[s] * budget), t) if t else (1, 0)
         quota[s] = (full, part)
-    plan = spark.createDataFrame([(s, f, p) for s, (f, p) in quota.items()], "__source string, full int, part long")
+    plan = spark.createDataFrame([(s, f, p) for s, (f, p) in quota.items()], "__source string, __full int, __part long")
 
     def beside(df: DataFrame, sources: DataFrame) -> DataFrame:
         return df.join(F.broadcast(sources) if len(quota) <= BROADCAST_SOURCES else sources, "__source")
 
     # (source, full, low): documents of the last epoch whose place is below `low` are drawn; found one digit at a time.
     digits = 62 // BLOCK_BITS + 1
-    placed = beside(small, plan.where("part > 0")).withColumn("place", _unit(seed, F.col("full"))).select("__source", "part", "place", "mix_tokens")
+    placed = beside(small, plan.where("__part > 0")).withColumn("place", _unit(seed, F.col("__full"))).select("__source", "place", "mix_tokens")
     known = {s: [0, p] for s, (_, p) in quota.items() if p}  # the digits so far, and what is left of the quota within them
     open_sources = set(known)
     for d in range(digits):
@@ -133,9 +138,9 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: flo
             if n <= 1 or not left or shift == 0:
                 known[s] = [cut << shift, left]
                 open_sources.discard(s)
-    cuts = spark.createDataFrame([(s, f, int(known[s][0]) if s in known else 0) for s, (f, _) in quota.items()], "__source string, full int, low long")
+    cuts = spark.createDataFrame([(s, f, int(known[s][0]) if s in known else 0) for s, (f, _) in quota.items()], "__source string, __full int, __low long")
     drawn = beside(counted, cuts)
-    copies = F.col("full") + (_unit(seed, F.col("full")) < F.col("low")).cast("int")
+    copies = F.col("__full") + (_unit(seed, F.col("__full")) < F.col("__low")).cast("int")
     drawn = drawn.where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     drawn = drawn.withColumn("mix_order", _unit(seed, F.col("mix_epoch")))
-    return drawn.select(*docs.columns, "mix_tokens", "mix_epoch", F.shiftright("mix_order", 62 - BLOCK_BITS).cast("int").alias("mix_block"), "mix_order")
+    return drawn.select(*[F.col(k).alias(c) for c, k in kept.items()], "mix_tokens", "mix_epoch", F.shiftright("mix_order", 62 - BLOCK_BITS).cast("int").alias("mix_block"), "mix_order")

@@ -69,6 +69,10 @@ def test_mixing(spark):
     for i, s, t in rows:
         for e in range(full[s]):
             assert copies[s][(i, t, e)] >= 1  # whole epochs hold every document
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["key", "full", "low", "part", "head", "place", "mix_tokens", "__source"])])
+    clashing = mixing.mix(wide, target_entropy_share=0.98, most_repeats=5.0)
+    assert len(set(clashing.columns)) == len(clashing.columns) == 3 + 7 + 4
+    assert Counter((r["doc_id"], r["text"], r["mix_epoch"], r["mix_order"], r["mix_tokens"]) for r in got) == Counter((r["doc_id"], r["text"], r["mix_epoch"], r["mix_order"], r["mix_tokens"]) for r in clashing.collect())
     again = mixing.mix(docs.drop("mix_order"), target_entropy_share=0.98, most_repeats=5.0).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert mixing.mix(docs.drop("mix_order").limit(0)).collect() == []
