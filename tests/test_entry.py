@@ -17,6 +17,12 @@ def test_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
 
 
+def test_without_what_the_llm_folder_needs(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path), "PYTHONPATH": f"{tmp_path}:{ROOT}"})
+
+
 def test_nothing_imports_them():
     for path in (ROOT / "sluice").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
