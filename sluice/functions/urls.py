@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zipfile
 from functools import cache
-from pathlib import Path
+from importlib.resources import files
 
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,19 +191,15 @@ def hosts_in_text(text: Column | str) -> Column:
 
 @cache
 def public_suffixes() -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
-    """Plain, wildcard and exception rules of the public list of registry suffixes in Spark's own HTTP client; the driver reads it."""
+    """Plain, wildcard and exception rules of the public list of registry suffixes, which comes with the package; the driver reads it."""
     plain, wild, exceptions = [], [], []
-    for jar in sorted((Path(pyspark.__file__).parent / "jars").glob("httpclient-*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            for line in z.read("mozilla/public-suffix-list.txt").decode().splitlines():
-                if "END ICANN" in line:
-                    break
-                rule = line.strip()
-                if rule and not rule.startswith("//"):
-                    rule = rule.split()[0]
-                    ascii_rule = rule.encode("idna").decode() if not rule.isascii() and not rule.startswith(("*", "!")) else rule
-                    (wild if rule.startswith("*.") else exceptions if rule.startswith("!") else plain).append(ascii_rule.removeprefix("*.").removeprefix("!"))
-        break
+    for line in files("sluice.functions").joinpath("public_suffixes.txt").read_text("utf-8").splitlines():
+        rule = line.strip()
+        if rule and not rule.startswith("//"):
+            ascii_rule = rule.encode("idna").decode() if not rule.isascii() and not rule.startswith(("*", "!")) else rule
+            (wild if rule.startswith("*.") else exceptions if rule.startswith("!") else plain).append(ascii_rule.removeprefix("*.").removeprefix("!"))
+    if not (plain and wild and exceptions):
+        raise ValueError("the list of public suffixes is empty")
     return tuple(plain), tuple(wild), tuple(exceptions)
 
 
@@ -227,7 +221,7 @@ def registrable_domain(df: DataFrame, host_col: str, out: str = "etld1") -> Data
     each = named.select("__host", F.size(labels).alias("n"), labels.alias("labels"), F.explode(F.sequence(F.lit(1), n)).alias("k"))
     each = each.withColumn("rule", F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), "."))
     hit = each.join(F.broadcast(rules), "rule")
-    # labels of the public suffix; an exception beats the rest, else the longest rule; unknown suffixes have one label
+    # labels of the public suffix; an exception beats the rest, else the longest rule; a host under an unknown suffix has no such domain
     size = F.when(F.col("kind") == 0, F.col("k") - 1).when(F.col("kind") == 1, F.col("k") + 1).otherwise(F.col("k"))
     best = hit.groupBy("__host").agg(F.max(F.when(F.col("kind") == 0, size)).alias("e"), F.max(F.when(F.col("kind") != 0, F.least(size, F.col("n")))).alias("s"))
     sized = named.select("__host", labels.alias("labels"), n.alias("n")).join(best, "__host", "left").withColumn("s", F.coalesce("e", "s"))
