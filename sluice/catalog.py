@@ -590,6 +590,23 @@ def page_features_all(spark, d):
     return f.withColumn("n_links", F.size("links")).drop("links", "script_hosts")
 
 
+def _flag(pattern: str) -> str:
+    return f"regexp_matches(html, '{pattern}')"
+
+
+@query(
+    "select page_id, regexp_extract_all(html, '<[a-zA-Z]').len() as dom_node_count, regexp_extract_all(html, '<a href=').len() as link_count, least(200, list_unique(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)))) as n_links, "
+    "regexp_extract_all(html, '<input').len() as input_count, regexp_extract_all(html, '<button').len() as button_count, regexp_extract_all(html, '<select').len() as select_count, regexp_extract_all(html, '<form').len() as form_count, "
+    "regexp_extract_all(html, '<iframe').len() as iframe_count, regexp_extract_all(html, 'type=\"password\"').len() as password_field_count, 0.0::double as canvas_area_fraction, false as has_dominant_canvas, 0 as iframe_cross_origin_count, "
+    "false as has_large_xorigin_iframe, 1.0::double as inline_script_ratio, 0.0::double as third_party_script_ratio, 0.0::double as script_host_entropy, "
+    f"{_flag('<video')} as has_video_player, 1.0::double as internal_link_ratio, 0 as outbound_domain_diversity, regexp_extract_all(html, '<img').len()::double as images from pages"
+)
+def page_record(spark, d):
+    f = page_features(table(spark, d, "pages"))
+    counts = ["dom_node_count", "link_count", "input_count", "button_count", "select_count", "form_count", "iframe_count", "password_field_count", "canvas_area_fraction", "has_dominant_canvas", "iframe_cross_origin_count", "has_large_xorigin_iframe", "inline_script_ratio", "third_party_script_ratio", "script_host_entropy", "has_video_player", "internal_link_ratio", "outbound_domain_diversity"]
+    return f.select("page_id", *counts, F.size("links").alias("n_links"), F.col("tag_img").cast("double").alias("images"))
+
+
 # ---- metrics -----------------------------------------------------------------
 
 _LABELS = ["adult", "clean", "gambling", "games"]

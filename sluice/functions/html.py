@@ -26,10 +26,17 @@ CRYPTO_WIDGETS = ("coinbase-commerce", "coingate", "nowpayments", "cryptomus", "
 PROXY_MARKS = ("powered by glype", "glype", "cgiproxy", "phproxy", "powered by php-proxy", "miniproxy", "php-proxy", "x-proxy", "/browse.php?u=", "/nph-proxy")
 LICENSE_SEAL = re.compile(r"(curacao|curaçao|gaming\s+license|gambling\s+commission|licensed\s+(?:and\s+regulated|by)|mga\/|malta\s+gaming|begambleaware|gamcare)", re.I)
 AGE_GATE = re.compile(r"age.?(verification|gate)|must be (18|21|over)|adults only", re.I)
+# Names of fields that take an address or are for search, and of payment fields.
+NO_ADDRESS_TYPES = ("search", "hidden", "password")
+SEARCH_NAMES = re.compile(r"\bq\b|query|search|find")
+ADDRESS_NAMES = re.compile(r"\b(url|http|https|site|address|proxy|website|link)\b")
+CARD_COMPLETION = re.compile(r"\bcc-(number|csc|exp)\b|\bcardnumber\b")
+CARD_NAMES = re.compile(r"card.?number|\bcvv\b|\bcvc\b|\bccnum|card.?holder|expir")
 POPUP = re.compile(r"window\.open\s*\(|popunder|pop_under|\.popups?\b", re.I)
 
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
+_SIBLINGS = frozenset(("p", "li", "tr", "td", "th", "option", "dt", "dd"))
 TAGS = ("div", "iframe", "script", "video", "canvas", "embed", "object", "form", "input", "a", "img")
 
 FLOATS = ("link_density", "internal_link_ratio", "text_to_tag_ratio", "canvas_area_fraction", "largest_iframe_area_fraction", "script_host_entropy", "third_party_script_ratio", "inline_script_ratio", "image_to_text_ratio")
@@ -81,11 +88,17 @@ class _Page(HTMLParser):
         if "onclick" in a and len(self.clicks) < 200:
             self.clicks.append(a["onclick"])
         if tag not in _VOID:
+            if tag in _SIBLINGS and self.open and self.open[-1] == tag:
+                self.open.pop()  # its end tag may be left out
             self.open.append(tag)
-            if self.nodes <= MAX_NODES:
-                self.depth = max(self.depth, len(self.open))
-        elif self.nodes <= MAX_NODES:
-            self.depth = max(self.depth, len(self.open) + 1)
+            self._deep(len(self.open))
+        else:
+            self._deep(len(self.open) + 1)
+
+    def _deep(self, levels: int):
+        """Depth counts from body, which is 1; what stands outside of any html and body is in it."""
+        if self.nodes <= MAX_NODES and "head" not in self.open:
+            self.depth = max(self.depth, levels - ("html" in self.open) + ("body" not in self.open))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -161,19 +174,23 @@ def _distinct(text: str, marks: tuple[str, ...]) -> int:
     return sum(m in text for m in marks)
 
 
+_ADDRESS = re.compile(r"https?://|[\w-]+(\.[\w-]+)+", re.I)
+
+
+def _names(a: dict, *keys: str) -> str:
+    return " ".join(a.get(k, "") for k in keys).lower()
+
+
 def _takes_url(a: dict) -> bool:
-    if (a.get("type") or "text").lower() in ("search", "hidden", "password") or a.get("role", "").lower() == "search":
-        return False
-    names = " ".join(a.get(k, "") for k in ("name", "id", "placeholder", "aria-label")).lower()
-    if re.search(r"\bq\b|query|search|find", names):
+    """A field named for an address, or with one in it, that is no search, hidden or password field."""
+    names = _names(a, "name", "id", "placeholder", "aria-label")
+    if SEARCH_NAMES.search(names) or a.get("role", "").lower() == "search" or (a.get("type") or "text").lower() in NO_ADDRESS_TYPES:
         return False
-    value = a.get("value", "").strip()
-    return bool(re.search(r"\b(url|http|https|site|address|proxy|website|link)\b", names) or re.match(r"https?://", value, re.I) or re.match(r"[\w-]+(\.[\w-]+)+", value))
+    return bool(ADDRESS_NAMES.search(names) or _ADDRESS.match(a.get("value", "").strip()))
 
 
 def _takes_card(a: dict) -> bool:
-    names = " ".join(a.get(k, "") for k in ("name", "id", "placeholder")).lower()
-    return bool(re.search(r"\bcc-(number|csc|exp)\b|\bcardnumber\b", a.get("autocomplete", "").lower()) or re.search(r"card.?number|\bcvv\b|\bcvc\b|\bccnum|card.?holder|expir", names))
+    return bool(CARD_COMPLETION.search(a.get("autocomplete", "").lower()) or CARD_NAMES.search(_names(a, "name", "id", "placeholder")))
 
 
 def extract(url: str | None, html: str | None) -> dict:
@@ -181,15 +198,15 @@ def extract(url: str | None, html: str | None) -> dict:
     url, p = url or "", _Page()
     p.feed(html or "")
     p.close()
-    site, host = _site(_host(url)), _host(url)
+    site = _site(_host(url))
     text = " ".join("".join(p.text).split())
     absolute = [u for h in p.anchors if h and (u := _join(url, h)).startswith(("http://", "https://"))]
     sites = [_site(_host(u)) for u in absolute]
     sources = [_join(url, s) for s, _ in p.scripts if s]
     script_hosts = [h for s in sources if (h := _host(s))]
     frames = [(_host(_join(url, f["src"])) if f.get("src") else "", _area(f)) for f in p.frames]
-    cross = [(h, area) for h, area in frames if h and h != host]
-    canvas = sum(_area(c) for c in p.canvases) / VIEWPORT
+    cross = [(h, area) for h, area in frames if h and _site(h) != site]
+    canvas = min(4.0, max((_area(c) for c in p.canvases), default=0.0) / VIEWPORT)
     hosts = " ".join([*script_hosts, *(h for h, _ in frames if h)])
     low = text.lower()
     out = {
@@ -198,7 +215,7 @@ def extract(url: str | None, html: str | None) -> dict:
         "link_density": min(1.0, p.link_chars / len(text)) if text else 0.0,
         "internal_link_ratio": sum(s == site for s in sites) / len(sites) if sites else 0.0,
         "text_to_tag_ratio": len(text) / max(1, p.nodes),
-        "canvas_area_fraction": min(4.0, canvas),
+        "canvas_area_fraction": canvas,
         "largest_iframe_area_fraction": min(4.0, max((a for _, a in frames), default=0.0) / VIEWPORT),
         "script_host_entropy": _entropy(Counter(script_hosts)),
         "third_party_script_ratio": sum(_site(h) != site for h in script_hosts) / len(sources) if sources else 0.0,

@@ -87,3 +87,19 @@ def test_page_features():
     assert f["third_party_script_ratio"] == 1.0 and f["inline_script_ratio"] == 0.5
     empty = html.extract(None, None)
     assert empty["text"] == "" and empty["dom_node_count"] == 0 and empty["link_density"] == 0.0
+
+
+def test_areas_frames_and_depth():
+    page = "<html><head><title>t</title><meta name=x></head><body><div><p>a<p>b</div><canvas width=600 height=500></canvas><canvas width=600 height=500></canvas><iframe src='https://cdn.site.com/x' width=1000 height=700></iframe></body></html>"
+    f = html.extract("https://www.site.com/", page)
+    assert f["canvas_area_fraction"] == 600 * 500 / html.VIEWPORT and not f["has_dominant_canvas"]
+    assert (f["iframe_count"], f["iframe_cross_origin_count"], f["iframe_cross_origin"], f["has_large_xorigin_iframe"]) == (1, 0, False, False)
+    assert f["max_dom_depth"] == 3  # body, div, p
+    assert html.extract("https://www.site.com/", "<div><p>x</p></div>")["max_dom_depth"] == 3
+    other = html.extract("https://www.site.com/", page.replace("cdn.site.com", "cdn.other.com"))
+    assert other["iframe_cross_origin"] and other["has_large_xorigin_iframe"]
+
+
+def test_public_suffixes_come_with_the_package():
+    plain, wild, exceptions = urls.public_suffixes()
+    assert {"com", "co.uk", "xn--p1ai"} <= set(plain) and "ck" in wild and "www.ck" in exceptions and len(plain) > 5000
