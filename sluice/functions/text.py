@@ -1,10 +1,16 @@
-"""Text, hash and formatting functions as native column expressions."""
+"""Text, hash and formatting functions: native column expressions, but for fingerprints and term vectors of whole texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions import wordhash
+
 #: Dimensions of the hashed term vector.
 DIMS = 65_536
 #: Tokens, and characters before them, that a record keeps of a page.
@@ -17,10 +23,11 @@ def _c(column: Column | str) -> Column:
 
 
 def _bytes(text: Column) -> Column:
-    """The UTF-8 bytes as numbers."""
+    """The UTF-8 bytes as numbers; where every character is one byte, its code."""
     hexed = F.hex(F.encode(text, "UTF-8"))
     pairs = F.filter(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1)), lambda x: x != "")
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))
+    plain = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(F.octet_length(text) == 0, F.array().cast("array<bigint>")).when(F.octet_length(text) == F.length(text), plain).otherwise(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long")))
 
 
 def fnv1a32(text: Column | str) -> Column:
@@ -74,30 +81,32 @@ def terms(text: Column | str) -> Column:
 def term_vector(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """(id, idx, value): the signed hashed term vector of length 1, a row per index; texts whose signs all cancel have none.
 
-    Rows are summed per document and index before anything is shuffled.
+    `dims` is a power of two.  Each row's vector is made where the row is; nothing is shuffled.
     """
-    each = df.select(F.col(id_col), F.explode(terms(text_col)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("times"))
-    h = each.withColumn("h", fnv1a32("term"))
-    sign = F.when(F.shiftright("h", 31).bitwiseAND(F.lit(1).cast("long")) == 1, -1.0).otherwise(1.0)
-    acc = h.groupBy(id_col, F.col("h").bitwiseAND(F.lit(dims - 1).cast("long")).alias("idx")).agg(F.sum(sign * F.col("times")).alias("x"))
-    norm = acc.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).where("norm > 0")
-    return acc.join(norm, id_col).select(id_col, "idx", (F.col("x") / F.col("norm")).alias("value"))
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, idx long, value double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, idx, value in wordhash.term_vectors(b.column(1), dims):
+                yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(idx), pa.array(value)], [id_col, "idx", "value"])
 
+    return df.select(id_col, F.lower(text_col).alias("text")).mapInArrow(run, schema)
 
-def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "simhash") -> DataFrame:
-    """(id, simhash): 64 signed-bit votes of word tokens, each hashed forwards and backwards; 0 without tokens.
 
-    Every word votes as often as it occurs; words are counted per document first.
+def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, simhash) and the columns `keep`: 64 signed-bit votes of word tokens, each hashed forwards and backwards; 0 without tokens.
+
+    Every word votes as often as it occurs.  Each row's votes are summed where the row is; nothing is shuffled.
     """
-    each = df.select(F.col(id_col), F.explode_outer(words(F.coalesce(F.col(text_col), F.lit("")))).alias("word")).groupBy(id_col, "word").agg(F.count("word").alias("times"))
-    h = F.shiftleft(fnv1a32("word"), 32).bitwiseOR(fnv1a32(F.reverse("word")))
-    each = each.withColumn("h", F.coalesce(h, F.lit(0).cast("long")))
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))
-    votes = each.groupBy(id_col).agg(*[F.sum((2 * bit(b) - 1) * F.col("times")).alias(f"v{b}") for b in range(64)])
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"v{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return votes.select(id_col, value.alias(out))
+    columns = [id_col, *keep]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), f"`{out}` long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = wordhash.simhashes(b.column(len(columns))).view(np.int64)
+            yield pa.record_batch([*b.columns[: len(columns)], pa.array(made)], [*columns, out])
+
+    return df.select(*columns, F.lower(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +92,27 @@ def first_pins(pins: DataFrame, most: int = 2_000) -> DataFrame:
 def rate_limited(requests: DataFrame, gap_ms: int = 60_000) -> DataFrame:
     """Requests (tab, t, seq) with accepted: a gap of `gap_ms` since the last accepted one is needed.
 
-    Which requests count depends on those accepted before, so a key's times are folded in order.
+    Which requests count depends on those accepted before, so a tab's times are read in
+    order, as a stream: from each accepted one to the first that is far enough from it.
     """
-    each = requests.groupBy("tab").agg(F.array_sort(F.collect_list(F.struct("t", "seq"))).alias("all"))
-    empty = F.array().cast("array<struct<t:bigint,seq:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        take = (F.size(acc) == 0) | (x["t"] - F.element_at(acc, -1)["t"] >= gap_ms)
-        return F.when(take, F.concat(acc, F.array(x))).otherwise(acc)
-
-    cast = F.transform("all", lambda x: F.struct(x["t"].cast("long").alias("t"), x["seq"].cast("long").alias("seq")))
-    kept = each.select("tab", F.explode(F.aggregate(cast, empty, step)).alias("k")).select("tab", "k.t", "k.seq", F.lit(True).alias("accepted"))
-    return requests.join(kept, ["tab", "t", "seq"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in requests.dtypes), "accepted boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tab, last = None, None
+        for b in batches:
+            times = b.column("t").to_numpy(zero_copy_only=False).astype(np.int64)
+            runs = pc.run_end_encode(b.column("tab"))
+            taken, at = np.zeros(len(times), bool), 0
+            for end, own in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if own != tab:
+                    tab, last = own, None
+                while at < end:
+                    at += 0 if last is None else int(np.searchsorted(times[at:end], last + gap_ms))
+                    if at < end:
+                        taken[at], last, at = True, int(times[at]), at + 1
+            yield pa.record_batch([*b.columns, pa.array(taken)], [*b.schema.names, "accepted"])
+
+    return requests.repartition("tab").sortWithinPartitions("tab", "t", "seq").mapInArrow(run, schema)
 
 
 def report_sections(events: DataFrame) -> dict[str, DataFrame]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from functools import reduce
+from itertools import combinations
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,40 +67,44 @@ SIGNALS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     ),
     "games": ((), ("free online games", "play free games", "play games online", "browser games", "io games", "multiplayer games", "free flash games")),
 }
-#: Bits by which near-duplicates may differ, and the bands of which one is then equal.
+#: Bits by which near-duplicates may differ, and the blocks (first bit, bits) of which two are then equal.
 NEAR_BITS = 4
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
 def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(re.escape(p).replace("\\ ", " ").replace("\\'", "'") for p in phrases))
+    """Whether a text holds a phrase; a phrase that holds another one need not be looked for."""
+    least = [p for p in phrases if not any(q != p and q in p for q in phrases)]
+    return reduce(or_, [text.contains(p) for p in least])
 
 
 def is_usable(title: Column, meta: Column, text: Column) -> Column:
     """Enough body or enough title and description, and no phrase of a parked, challenge or removed page."""
     t, m, b = (F.lower(F.coalesce(x, F.lit(""))) for x in (title, meta, text))
-    body = F.length(F.regexp_replace(b, r"(?U)\s+", ""))
+    solid = lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", ""))
+    # Most texts have enough in their first characters; the whole of the others is counted.
+    thin = F.when(solid(F.substring(b, 1, 4 * MIN_BODY_CHARS)) >= MIN_BODY_CHARS, False).otherwise(solid(b) < MIN_BODY_CHARS)
     tokens = F.size(F.filter(F.split(F.concat(t, F.lit(" "), m), r"(?U)\s+"), lambda x: x != ""))
     blob = F.concat(t, F.lit(" "), m, F.lit(" "), b)
-    return ~((body < MIN_BODY_CHARS) & (tokens < MIN_META_TOKENS)) & ~_any_of(blob, PARKED + CHALLENGE + REMOVED)
+    return ~(thin & (tokens < MIN_META_TOKENS)) & ~_any_of(blob, PARKED + CHALLENGE + REMOVED)
 
 
 def contamination(text: Column, signals: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = SIGNALS) -> Column:
     """The category with the most distinct words and phrases in the text, if more than one; ties go to the earlier."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = []
-    for name, (words, phrases) in signals.items():
-        n = F.lit(0)
-        for w in words:
-            n = n + low.rlike(rf"\b{re.escape(w)}\b").cast("int")
-        for p in phrases:
-            n = n + low.contains(p).cast("int")
-        hits.append((name, n))
-    most = F.greatest(F.lit(1), *[n for _, n in hits]) if len(hits) > 1 else F.greatest(F.lit(1), hits[0][1])
-    found = F.lit(None).cast("string")
-    for name, n in reversed(hits):
-        found = F.when((n > 1) & (n == most), name).otherwise(found)
-    return found
+
+    def counts(low: Column) -> Column:
+        # A word's borders are only looked for where its letters are.
+        word = lambda w: F.when(low.contains(w), low.rlike(rf"\b{re.escape(w)}\b")).otherwise(False)
+        each = [[*map(word, words), *map(low.contains, phrases)] for words, phrases in signals.values()]
+        return F.array(*[reduce(add, [x.cast("int") for x in found], F.lit(0)) for found in each])
+
+    def best(n: Column) -> Column:
+        named = F.array_position(n, F.array_max(n))
+        return F.when(F.array_max(n) > 1, F.get(F.array(*map(F.lit, signals)), (named - 1).cast("int")))
+
+    # Lambdas, so that the text is folded, and its signals counted, once.
+    folded = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), counts)
+    return F.get(F.transform(folded, best), F.lit(0))
 
 
 def with_contamination(df: DataFrame, clean: str, label: str = "label", text: Column | None = None, signals=SIGNALS) -> DataFrame:
@@ -108,18 +115,20 @@ def with_contamination(df: DataFrame, clean: str, label: str = "label", text: Co
 
 def near_duplicate_edges(df: DataFrame, group_col: str, seq_col: str, hash_col: str) -> DataFrame:
     """(group, a, b) of rows a before b whose hashes differ in 1 to NEAR_BITS bits; hashes must be distinct in a group."""
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(hash_col), at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).alias("part")) for i, (at, n) in enumerate(BANDS)])
-    each = df.select(group_col, F.col(seq_col).alias("seq"), F.col(hash_col).alias("h"), F.explode(bands).alias("b")).select(group_col, "seq", "h", "b.band", "b.part")
+    block = lambda at, n: F.shiftrightunsigned(F.col(hash_col), at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    # A key of about 21 bits for every two of the blocks; the first six bits tell which two.
+    keys = F.array(*[F.lit(i << 32).bitwiseOR(F.shiftleft(block(*x), 11)).bitwiseOR(block(*y)) for i, (x, y) in enumerate(combinations(BLOCKS, 2))])
+    each = df.select(group_col, F.col(seq_col).alias("seq"), F.col(hash_col).alias("h"), F.explode(keys).alias("part"))
     x, y = each.alias("x"), each.alias("y")
-    near = F.expr(f"x.{group_col} <=> y.{group_col} and x.band = y.band and x.part = y.part and x.seq < y.seq and bit_count(x.h ^ y.h) <= {NEAR_BITS}")
+    near = F.expr(f"x.{group_col} <=> y.{group_col} and x.part = y.part and x.seq < y.seq and bit_count(x.h ^ y.h) <= {NEAR_BITS}")
     return x.join(y, near).select(F.col(f"x.{group_col}"), F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
 
 
 def keep_first_of_near(df: DataFrame, group_col: str, seq_col: str, hash_col: str, store=None) -> DataFrame:
     """The rows that a pass in order of `seq_col` keeps: those not near a row kept before, within a group.
 
-    Rows with equal hashes come down to the first.  Bands bring all pairs within the
-    distance together.  Then in rounds: a row whose earlier neighbours are all dropped is
+    Rows with equal hashes come down to the first.  Equal pairs of blocks bring all rows
+    within the distance together.  Then in rounds: a row whose earlier neighbours are all dropped is
     kept, one with a kept earlier neighbour is dropped, until every row is decided.
     """
     from sluice.plans.session import stored
@@ -140,8 +149,11 @@ def keep_first_of_near(df: DataFrame, group_col: str, seq_col: str, hash_col: st
 
 def without_near_duplicates(df: DataFrame, seq_col: str, group_col: str, text_col: str) -> DataFrame:
     """`df` without near-duplicates within a group, by the 64-bit fingerprint of the text."""
-    hashed = df.join(simhash(df, seq_col, text_col, "simhash"), seq_col)
-    return keep_first_of_near(hashed, group_col, seq_col, "simhash")
+    from sluice.plans.session import stored
+
+    # Texts stay where they are: only numbers, groups and fingerprints are stored, and the kept numbers go back to the texts.
+    hashed = stored(simhash(df, seq_col, text_col, "simhash", keep=(group_col,)))
+    return df.join(keep_first_of_near(hashed, group_col, seq_col, "simhash").select(seq_col), seq_col, "left_semi")
 
 
 def hash_order(seed: int, *columns: str) -> list[Column]:

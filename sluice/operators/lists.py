@@ -72,10 +72,11 @@ def pack_rules(tier: DataFrame, *, domains_per_rule: int = 60, rules_per_chunk:
 
     A rule takes domains up to its number and its bytes.  What a rule takes depends on
     where the one before it ended, so positions are worked through in order: a scan over
-    (pos, length) alone, of a tier bounded by its capacity, that hands each rule's
-    bounds back to the rows by a join.
+    (pos, length) alone, of no more domains than all rules can hold, that hands each
+    rule's bounds back to the rows by a join.
     """
-    sizes = tier.select("pos", F.length("domain").alias("n"))
+    most = -(-max_rules // rules_per_chunk) * rules_per_chunk * domains_per_rule
+    sizes = tier.where(F.col("pos") < most).select("pos", F.length("domain").alias("n"))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")

@@ -12,9 +12,18 @@ from sluice.functions.urls import domain_suffixes
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes that the optimizer expects a table to have, up to which it is broadcast without being counted.
+BROADCAST_BYTES = 16 << 20
+
+
 def checked_broadcast(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`table` with the broadcast hint if it has at most `most` rows, else as it is, for a shuffled join."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    """`table` with the broadcast hint if it is small, else as it is, for a shuffled join.
+
+    Small is what the optimizer, from the sizes of the files, expects to be so; a table
+    of which it expects more is counted, and may have `most` rows.
+    """
+    expected = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(table) if int(str(expected)) <= BROADCAST_BYTES or table.limit(most + 1).count() <= most else table
 
 
 def longest_listed(hosts: DataFrame, listed: DataFrame, host_col: str = "host", hashed: bool = True) -> DataFrame:

@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.detect import is_article_about
 from sluice.functions.text import DIMS, term_vector
 from sluice.functions.urls import is_search_url
+from sluice.operators.lookup import checked_broadcast
+from sluice.operators.rank import numbered
 
 TREE_THRESHOLD, TEXT_THRESHOLD, TEXT_ONLY_THRESHOLD = 0.97, 0.89, 0.80
 
@@ -186,10 +188,15 @@ def train_trees(df: DataFrame, classes: list[str], inputs: list[str], label: str
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """`df` with fold 1..k, even within each label, in hash order."""
+    """`df` with fold 1..k, even within each label, in hash order; a label may hold most rows, as places are counted over all labels."""
     from sluice.operators.corpus import hash_order
 
-    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(label).orderBy(*hash_order(seed, key))))
+    placed = numbered(df, F.col(label), *hash_order(seed, key), name="__n")
+    of = placed.groupBy(F.col(label).alias("__label")).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    at, size = F.col("__n") - F.col("__first"), F.floor(F.col("__size") / k)
+    wide = (F.col("__size") % k) * (size + 1)  # the first folds have one more
+    fold = F.when(at < wide, F.floor(at / (size + 1))).otherwise(F.col("__size") % k + F.floor((at - wide) / F.greatest(size, F.lit(1)))) + 1
+    return placed.join(checked_broadcast(of), F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, fold.cast("int").alias("fold"))
 
 
 def best_blocked(scores: Column, classes: list[str], clean: str = "clean") -> Column:

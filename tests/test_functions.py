@@ -103,3 +103,31 @@ def test_areas_frames_and_depth():
 def test_public_suffixes_come_with_the_package():
     plain, wild, exceptions = urls.public_suffixes()
     assert {"com", "co.uk", "xn--p1ai"} <= set(plain) and "ck" in wild and "www.ck" in exceptions and len(plain) > 5000
+
+
+def test_words_of_whole_texts(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", "Été 12ab\x00c", "x" * 5000, " ".join(rng.choice(["alpha", "Beta9", "ü", "--", "z"]) for _ in range(70_000)), "KK İ end", "end"]
+    rows = list(enumerate(texts)) + [(1, "twice"), (1, "twice"), (None, "word word")]
+
+    def fnv(data, h=2166136261):
+        for b in data:
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        return h
+
+    def simhash(t):
+        found = re.findall("[a-z0-9]+", spark_lower(t))
+        hashes = [(fnv(w.encode()) << 32) | fnv(w[::-1].encode()) for w in found]
+        return sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) > 0)
+
+    df = spark.createDataFrame(rows, "id long, text string")
+    lowered = {r["text"]: r["low"] for r in df.selectExpr("text", "lower(text) as low").collect()}
+    spark_lower = lambda t: lowered[t] or ""
+    got = sorted((r["id"] is None, r["id"] or 0, r["simhash"] & (2**64 - 1)) for r in text.simhash(df, "id", "text").collect())
+    assert got == sorted((i is None, i or 0, simhash(t)) for i, t in rows)
+    assert text.simhash(df.limit(0), "id", "text").collect() == [] == text.term_vector(df.limit(0), "id", "text").collect()
+    sums = {r["id"]: r["s"] for r in text.term_vector(df.where("id > 2 and id <> 1"), "id", "text").groupBy("id").agg(F.sum(F.col("value") ** 2).alias("s")).collect()}
+    assert set(sums) == {3, 4, 5, 6, 7, 8} and all(abs(s - 1) < 1e-9 for s in sums.values())
