@@ -1,12 +1,14 @@
 """Nearest neighbours by a forest of hash-prefix trees.
 
 The table is dealt into shards, and a shard has a forest: for each tree, the sorted
-array of its vectors' long hash strings, a bit for each of a tree's random
-directions, cut at the median of a sample.  A query goes down every tree to where its
-own string would stand; then all trees ascend together, one bit of prefix at a time,
-until the vectors that share a prefix of that length with it in any tree are enough.
-Those are measured exactly.  A shard hands on each query's best, and the best of all
-shards are the result.
+array of its vectors' hash strings.  A character of a string is the axis, with its
+sign, to which a vector is nearest after a random rotation to a few dimensions.  A
+query goes down every tree to where its own string would stand, as deep as a prefix
+of it goes on; then all trees ascend together, a character at a time.  At every
+level the vectors below a tree's node get a vote, so one that shares long prefixes, or
+prefixes in many trees, has the most.  The ascent ends when enough vectors have votes;
+those with the most are measured exactly, all of equal votes alike.  A shard hands on
+each query's best, and the best of all shards are the result.
 
 Equal vectors are one entry with their least ids, so a vector that is everywhere
 costs no more than another.
@@ -21,24 +23,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trees of a forest, bits of a hash string.
-TREES, BITS = 24, 32
+#: Trees of a forest, characters of a hash string, and dimensions of a rotation: a character has twice as many values.
+TREES, CHARACTERS, DIMENSIONS = 128, 2, 16
 #: Vectors of a shard, about, and queries that a shard takes at once.
 SHARD, QUERY_BLOCK = 8192, 1024
-#: Share of a shard's vectors that a query is measured against at least; recall by brute force in the tests.
-CANDIDATES = 0.75
+#: Share of a shard's vectors that a query is measured against, and how many more for each neighbour asked for; see the README for recall.
+CANDIDATES, MORE = 0.08, 6
 _SAMPLE = 2048
 
 
 class Forest:
     """Sorted hash strings of the rows of `x`, for every tree."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 5):
+    def __init__(self, x: np.ndarray, trees: int = TREES, characters: int = CHARACTERS, dimensions: int = DIMENSIONS, seed: int = 5):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.x, self.bits = x, bits
-        self.directions = rng.standard_normal((trees, x.shape[1], bits))
-        sample = x if len(x) <= _SAMPLE else x[rng.permutation(len(x))[:_SAMPLE]]
-        self.cuts = np.median(np.einsum("nd,tdb->tnb", sample, self.directions), axis=1)
+        self.x, self.characters = x, characters
+        self.center = x[rng.permutation(len(x))[:_SAMPLE]].mean(0)
+        self.dimensions = min(dimensions, x.shape[1])
+        turned = [np.linalg.qr(rng.standard_normal((x.shape[1], self.dimensions)))[0] for _ in range(trees * characters)]
+        self.rotations = np.concatenate(turned, axis=1).reshape(x.shape[1], trees, characters * self.dimensions)
         self.order, self.strings = [], []
         for t in range(trees):
             s = self._hash(x, t)
@@ -46,30 +49,34 @@ class Forest:
             self.strings.append(s[self.order[-1]])
 
     def _hash(self, x: np.ndarray, t: int) -> np.ndarray:
-        bits = x @ self.directions[t] > self.cuts[t]
-        return bits.astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        """Strings as numbers, the first character highest."""
+        turned = ((x - self.center) @ self.rotations[:, t]).reshape(len(x), self.characters, self.dimensions)
+        axis = np.abs(turned).argmax(2)
+        sign = np.take_along_axis(turned, axis[:, :, None], 2)[:, :, 0] > 0
+        base = 2 * self.dimensions
+        return (2 * axis + sign) @ base ** np.arange(self.characters - 1, -1, -1)
 
     def candidates(self, q: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """For each row of `q`, the rows of the table that share the longest prefixes with it, `enough` at least if there are so many."""
-        strings = [self._hash(q, t) for t in range(len(self.order))]
-        enough = min(enough, len(self.x))
-        ranges = []
-        for depth in range(self.bits, -1, -1):
-            low_bits = (1 << (self.bits - depth)) - 1
-            ranges.append([(np.searchsorted(s, h & ~low_bits), np.searchsorted(s, h | low_bits, "right")) for s, h in zip(self.strings, strings, strict=True)])
-        total = np.array([sum(b - a for a, b in level) for level in ranges])
+        """For each row of `q`, the rows of the table with the most votes, `enough` at least if there are so many."""
+        base, enough = 2 * self.dimensions, min(enough, len(self.x))
+        ranges = []  # of each tree, a query's node at every level
+        for t, s in enumerate(self.strings):
+            h = self._hash(q, t)
+            low = [h // base**k * base**k for k in range(self.characters)]
+            ranges.append([(np.searchsorted(s, x), np.searchsorted(s, x + base**k)) for k, x in enumerate(low)])
         for i in range(len(q)):
-            # Shared candidates count once, so the ascent goes on from the first level that could have enough.
-            level = int(np.argmax(total[:, i] >= enough))
-            while True:
-                mark = np.zeros(len(self.x), bool)
-                for order, (a, b) in zip(self.order, ranges[level], strict=True):
-                    mark[order[a[i] : b[i]]] = True
-                found = np.flatnonzero(mark)
-                if len(found) >= enough or level + 1 == len(ranges):
+            votes, some = np.zeros(len(self.x), np.int32), 0
+            for level in range(self.characters):
+                # the longest matches first: where a tree has none of this length, its node is empty
+                below = [order[r[level][0][i] : r[level][1][i]] for order, r in zip(self.order, ranges, strict=True)]
+                votes += np.bincount(np.concatenate(below), minlength=len(votes)).astype(np.int32)
+                some = np.count_nonzero(votes)
+                if some >= enough and level:
                     break
-                level += 1
-            yield found
+            if some < enough:  # the root has all vectors
+                yield np.arange(len(votes))
+                continue
+            yield np.flatnonzero(votes >= max(1, np.partition(votes, len(votes) - enough)[len(votes) - enough]))
 
 
 def usable(column: Column) -> Column:
@@ -85,6 +92,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, candidates:
     All candidates if fewer; ties by the smaller vec_id; a query is no neighbour of its
     own id.  Unusable vectors (see `usable`), rows without an id and vectors of another
     length than the query's take no part.  Of rows that repeat an id and a vector, one counts.
+    Ids are whole numbers; any other id is an error.  An empty table gives no row; other
+    columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     table = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
@@ -106,7 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, candidates:
             out = []
             if forest is not None and waiting:
                 q = np.array([v for _, v in waiting], np.float64)
-                enough = max(int(candidates * len(ids)), 50 * k)
+                enough = int(candidates * len(ids)) + MORE * k
                 for (name, _), x, found in zip(waiting, q, forest.candidates(q, enough), strict=True):
                     d = np.sqrt(((forest.x[found] - x) ** 2).sum(1))
                     if len(d) > k + 1:

@@ -103,6 +103,21 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).collect() == [] and few.where(~ann.usable(F.col("embedding"))).count() == 0
 
 
+def test_recall_on_vectors_without_structure():
+    """Unit vectors at random in 64 dimensions, which are the hardest: recall and the share measured, by brute force."""
+    rng = np.random.default_rng(8)
+    for n, most in ((500, 0.4), (3000, 0.2)):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q, hits, measured = range(0, n, n // 60), 0, 0
+        found = ann.Forest(x).candidates(x[list(q)], int(ann.CANDIDATES * n) + ann.MORE * 10)
+        for i, f in zip(q, found, strict=True):
+            d = ((x - x[i]) ** 2).sum(1)
+            hits += len(set(np.argsort(d)[1:11].tolist()) & set(f.tolist()))
+            measured += len(f)
+        assert hits >= 0.93 * 10 * len(q) and measured < most * n * len(q)
+
+
 def test_a_source_whose_quota_is_its_tokens_is_drawn_in_full(spark):
     # Nearly uniform: no power meets the entropy target, so each weight is the source's own share.
     rows = [(10 * s + i, f"s{s}", " ".join(["w"] * (50 + s + i))) for s in range(30) for i in range(3)]
