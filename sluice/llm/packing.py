@@ -3,9 +3,9 @@
 Documents are tokenized once; only those longer than a sequence are cut.  The
 planner sees nothing but the number of pieces of each length, at most one entry
 per length, whatever the size of the corpus.  It indexes the lengths and the sums of
-two, and looks up, for the gap that the longest piece leaves, one, two or three
-pieces that fill it exactly; they are consumed as often as the counts allow.  Where
-nothing fits exactly, the best fit goes in.  The plan says which ranks of each
+two and of three, and looks up, for the gap that each length leaves, one, two or three
+pieces that fill it exactly; they are consumed as often as the counts allow.  What is
+left then goes by best fit, with the same look-ups for what is left of a gap.  The plan says which ranks of each
 length go where; a piece finds its place by its rank among the pieces of its length.
 """
 
@@ -32,6 +32,8 @@ _OUTSIDE = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r"
 _SPLIT = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 CACHE, LONGEST = 150_000, 48
+#: First texts of an encoder that are encoded both ways.
+COMPARED = 64
 
 
 def _merger(path: str):
@@ -64,13 +66,20 @@ class IdEncoder:
 
     The byte-level BPE merges nothing across the parts of its split pattern, so a
     part is encoded once and its ids remembered.  Texts with other characters or
-    with an added token's string go to the tokenizer whole.
+    with an added token's string go to the tokenizer whole.  Every encoder begins by
+    comparing: parts made of the vocabulary, and its first texts, are encoded by the
+    tokenizer as well, and where one differs, all go to the tokenizer from then on.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = load_tokenizer(path), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merger = _merger(path)
+        self.trusted, self.to_compare = True, COMPARED
+        tokens = sorted(self.tokenizer.get_vocab())[:: max(1, self.tokenizer.get_vocab_size() // 500)]
+        probes = [p for a, b in zip(tokens, tokens[1:], strict=False) for p in _SPLIT.findall(f"{a}{b}{a.lower()}") if not _OUTSIDE.search(p)]
+        if self.merger is not None and self._parts(probes) != self._raw(probes):
+            self.merger = None
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,6 +92,18 @@ class IdEncoder:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(merge, parts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.trusted:
+            return self._raw(texts)
+        out = self._by_parts(texts)
+        if self.to_compare:
+            first = self._raw(texts[: self.to_compare])
+            self.to_compare -= len(first)
+            if first != out[: len(first)]:
+                self.trusted = False
+                return self._raw(texts)
+        return out
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         get, waiting, missing, whole = self.known.get, [], set(), []
         for i, text in enumerate(texts):
@@ -165,7 +186,7 @@ class Plan:
 
 
 class _Lengths:
-    """Available pieces by length, with bit indexes of the lengths and of the sums of two."""
+    """Available pieces by length, with bit indexes of the lengths and of the sums of two and of three."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = {n: c for n, c in counts.items() if c > 0}
@@ -177,6 +198,9 @@ class _Lengths:
         self.pairs = 0
         for n in self.left:
             self.pairs |= (self.singles << n) & self.limit
+        self.triples = 0
+        for n in self.left:
+            self.triples |= (self.pairs << n) & self.limit
 
     def longest(self, limit: int) -> int:
         """The greatest length up to `limit`, 0 if there is none."""
@@ -205,6 +229,8 @@ class _Lengths:
                 if self.has([*used, a, gap - a]):
                     return [a, gap - a]
                 a = self.longest(a - 1)
+        if not self.triples >> gap & 1:
+            return None
         a = self.longest(gap - 2)
         while a and 3 * a >= gap:
             if self.pairs >> (gap - a) & 1:
@@ -220,13 +246,20 @@ class _Lengths:
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     """Places for `counts[n]` pieces of each length n, 1 <= n <= capacity.
 
-    The longest piece opens a sequence.  Its gap is looked up among the lengths, the sums
-    of two and those of three; where none fits exactly, the longest piece that fits goes
-    in, and what is then left is looked up again.  The pattern that comes out is used as
-    often as the counts allow, so every step uses up a length or leaves fewer of it than a
-    sequence would hold: the plan has a few entries per length, however many pieces there are.
+    First the lengths, the longest first, open sequences whose gap is the length, or the
+    sum of two or three lengths, of available pieces.  When none is left, the longest
+    piece opens a sequence, the longest that fits goes in, and what is then left of the
+    gap is looked up again.  A pattern is used as often as the counts allow, so every step
+    uses up a length or leaves fewer of it than a sequence would hold: the plan has a few
+    entries per length, however many pieces there are.
     """
     lengths, plan = _Lengths(counts, capacity), Plan()
+    for n in sorted(lengths.left, reverse=True):
+        while lengths.left.get(n):
+            found = lengths.exact([n], capacity - n) if n < capacity else []
+            if found is None:
+                break
+            plan.add((n, *found), lengths.take([n, *found]))
     while lengths.left:
         items = [max(lengths.left)]
         gap = capacity - items[0]
@@ -287,7 +320,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Null and empty texts are the end id alone.  Rows with a null id, and repeated rows,
-    are packed like any other; other columns are left out.  An empty table gives no row.
+    are packed like any other; other columns are left out, whatever their names.  An
+    empty table gives no row.  A very long text is many pieces.  Which of several pieces of
+    one length comes first is by bucket, then id; ties are equal pieces.
     """
     pieces = token_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col)
     return pack(stored(pieces), capacity)
