@@ -1,16 +1,18 @@
 """Token counts of whole documents, huge ones by overlap resynchronisation.
 
-A text of up to `chunk_chars` characters is counted in one piece: the tokenizer
-joins nothing across white space, so each white-space-free part is encoded once
-per worker and its count reused.  A longer text is cut into overlapping chunks,
+A text of up to `chunk_chars` characters is counted in one piece.  Where the tokenizer's
+file says that it joins nothing across white space, and drops that, each
+white-space-free part is encoded once per worker and its count reused.  A longer text is cut into overlapping chunks,
 each encoded with offsets.  Two neighbours are spliced where, within their
 overlap, both have the same run of tokens at the same offsets, starting just
 after white space: what follows such a boundary is encoded alike whatever
-precedes it.  Where none is found, the overlap is doubled, up to the whole rest.
+precedes it.  Where none is found, the overlap is doubled, up to the whole rest, and
+what is new grows with it: a text without any boundary is encoded a few times in all.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -40,13 +42,28 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def splits_at_space(path: str) -> bool:
+    """Whether the file's pattern takes white space out, so that the text's white-space-free parts have the tokens that the text has."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = file.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers") or [steps]
+    first = steps[0]
+    found = [t.get("content", "") for t in file.get("added_tokens") or []]
+    out = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in (first.get("pattern") or {}).get("Regex", "")
+    plain = all(not s.get("add_prefix_space") and not (s.get("type") == "ByteLevel" and s.get("use_regex")) for s in steps)
+    return bool((out or first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")) and plain and not any(re.search(r"\s", t) for t in found))
+
+
 class PartCounter:
-    """Counts tokens of white-space-free parts, each encoded once while it is remembered."""
+    """Counts tokens of texts, by white-space-free parts where that is right, each encoded once while it is remembered."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+    def __init__(self, tokenizer, by_parts: bool = True):
+        self.tokenizer, self.known, self.by_parts = tokenizer, {}, by_parts
 
     def counts(self, texts: list[str]) -> list[int]:
+        if not self.by_parts:
+            return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out, waiting, missing = [0] * len(texts), [], set()
         get = self.known.get
         for i, text in enumerate(texts):
@@ -85,8 +102,7 @@ def spliced(tokenizer, text: str, chunk: int, overlap: int, agree: int = 4) -> t
         width = overlap
         while True:
             start = max(0, to - width)
-            until = min(len(text), to - width + chunk if width < chunk else to + chunk)
-            until = max(until, min(len(text), to + 1))
+            until = min(len(text), max(start + chunk, to + width))
             new_ids, new_places = encode(start, until)
             at = {p: i for i, p in enumerate(new_places)}
             splice = None
@@ -102,10 +118,10 @@ def spliced(tokenizer, text: str, chunk: int, overlap: int, agree: int = 4) -> t
                     break
             if splice:
                 i, j = splice
-                ids, places = ids[:i] + new_ids[j:], places[:i] + new_places[j:]
+                ids[i:], places[i:] = new_ids[j:], new_places[j:]
                 break
             if start == 0:
-                ids, places = encode(0, until)
+                ids, places = new_ids, new_places
                 break
             width *= 2
         to = until
@@ -114,7 +130,7 @@ def spliced(tokenizer, text: str, chunk: int, overlap: int, agree: int = 4) -> t
 
 def _batches(path: str, id_col: str, text_col: str, limit: int, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = held(("counts", path), lambda: PartCounter(load_tokenizer(path)))
+        counter = held(("counts", path), lambda: PartCounter(load_tokenizer(path), splits_at_space(path)))
         tokenizer = counter.tokenizer
         for batch in batches:
             ids, column = batch.column(id_col), batch.column(text_col)
@@ -136,7 +152,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, limit: int = 2048, id_
     """doc_id, n_bytes, n_tokens, over_limit of every row, without begin, end or added special tokens.
 
     Null and empty texts have 0 bytes and 0 tokens.  A null id stays null; repeated
-    rows are counted one by one; other columns are left out.  No shuffle.
+    rows are counted one by one; other columns are left out, whatever their names.  An
+    empty table gives no row.  No shuffle.
     """
     bounded_batches(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean"

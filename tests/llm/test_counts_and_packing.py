@@ -28,6 +28,33 @@ def test_counts_are_the_librarys(docs, chunk, overlap):
     assert Counter(map(tuple, got)) == want
 
 
+def test_a_tokenizer_that_joins_across_white_space(docs):
+    assert token_counts.splits_at_space(WORD) and not token_counts.splits_at_space(BYTE)
+    t = Tokenizer.from_file(BYTE)
+    got = token_counts.count_tokens(docs, BYTE).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+
+
+def test_an_encoder_that_differs_is_given_up():
+    e = packing.IdEncoder(BYTE)
+    e.known["abc"] = b"\x01\x00\x00\x00"
+    right = np.asarray(e.tokenizer.encode("abc", add_special_tokens=False).ids, "<u4").tobytes()
+    assert e.encode(["abc"]) == [right] and not e.trusted and e.encode(["abc"]) == [right]
+
+
+def test_an_unbroken_text_is_encoded_a_few_times():
+    t, read = token_counts.load_tokenizer(WORD), []
+
+    class Reader:
+        def encode(self, text, **k):
+            read.append(len(text))
+            return t.encode(text, **k)
+
+    text = "ab" * 20_000
+    assert token_counts.spliced(Reader(), text, 512, 16)[0] == t.encode(text, add_special_tokens=False).ids
+    assert sum(read) < 12 * len(text)
+
+
 def test_counts_of_no_rows(docs):
     assert token_counts.count_tokens(docs.limit(0), WORD).collect() == []
 
@@ -43,6 +70,8 @@ def test_splices(text, chunk, overlap):
 @given(st.text(alphabet="abzé'² \n\t.1½–好 ", max_size=80))
 def test_ids_are_the_librarys(text):
     e = packing.IdEncoder(BYTE)
+    assert e.merger is not None
+    e.to_compare = 0  # the parts alone
     assert e.encode([text]) == [np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
