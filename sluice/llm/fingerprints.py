@@ -103,11 +103,12 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int, *, bits
 
 
 def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`step(ids, texts, next_texts)` over all documents in ascending id, each with the text of the next one (after the last: the first).
+    """`step(ids, texts, next_texts)` over all documents, from the greatest id of a range to its least, each with the text of the next one (after the last: the first).
 
     Texts are dealt once, by ranges of ids; the first document of a range also goes to
-    the end of the range before, so that no range needs another.  Rows that share an id
-    have the same next document, the next larger id's with the least text; a null id
+    the range before, so that no range needs another.  A range is read from its end, so the
+    next text is there before those that it follows, and no more than two are held however
+    many rows share an id, or have none.  Rows that share an id have the same next document, the next larger id's with the least text; a null id
     comes before all others.
     """
     spark = docs.sparkSession
@@ -128,30 +129,30 @@ def with_next(docs: DataFrame, step, schema: str, *, id_col: str = "doc_id", tex
     at = lambda k, lent: F.struct(k.cast("int").alias("range"), F.lit(lent).alias("lent"))
     place = F.when(first, F.array(at(own, False), at(F.pmod(own - 1, F.lit(len(begins))), True))).otherwise(F.array(at(own, False)))
     dealt = rows.select("id", "text", F.explode(place).alias("to")).select("id", "text", F.col("to.range").cast("int").alias("range"), F.col("to.lent").alias("lent"))
-    dealt = dealt.repartitionById(len(begins), F.col("range")).sortWithinPartitions("range", "lent", "id", "text")
+    dealt = dealt.repartitionById(len(begins), F.col("range")).sortWithinPartitions(F.col("range"), F.col("lent").desc(), F.col("id").desc(), F.col("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held_texts, key = [], [], None  # rows of one id, waiting for the next id
-
+        after = first = key = None  # the next text; the least text of the id at hand
         ready = ([], [], [])
+
+        def done():
+            return step(pa.array([None if h == -(2**63) else h for h in ready[0]], pa.int64()).cast(_arrow(kind)), ready[1], ready[2])
+
         for b in batches:
             for i, t, lent in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("lent").to_pylist(), strict=True):
                 t = t or ""
-                if key is not None and (lent or i != key):
-                    for h, x in zip(held_ids, held_texts, strict=True):
-                        ready[0].append(h)
-                        ready[1].append(x)
-                        ready[2].append(t)
-                    held_ids, held_texts, key = [], [], None
-                    if len(ready[0]) >= 128:
-                        yield step(pa.array([None if h == -(2**63) else h for h in ready[0]], pa.int64()).cast(_arrow(kind)), ready[1], ready[2])
-                        ready = ([], [], [])
-                if not lent:
-                    held_ids.append(i)
-                    held_texts.append(t)
-                    key = i
+                if lent:
+                    after = t if after is None else after
+                    continue
+                if i != key:
+                    after, first, key = after if key is None else first, t, i
+                for out, x in zip(ready, (i, t, after), strict=True):
+                    out.append(x)
+                if len(ready[0]) >= 128:
+                    yield done()
+                    ready = ([], [], [])
         if ready[0]:
-            yield step(pa.array([None if h == -(2**63) else h for h in ready[0]], pa.int64()).cast(_arrow(kind)), ready[1], ready[2])
+            yield done()
 
     return dealt.mapInArrow(run, schema)
 
@@ -182,15 +183,17 @@ def edited_likeness(docs: DataFrame, *, bits: int = 256, id_col: str = "doc_id",
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Null texts are empty ones: 0 characters, all bits zero.  A single document is its
-    own next one.  See `with_next` for repeated and null ids.
+    own next one.  See `with_next` for repeated and null ids; ids are whole numbers, any
+    other id is an error.  An empty table gives no row; other columns are left out, whatever
+    their names.  A very long text and its edited one are held in one task.
     """
 
     def step(ids, texts, others):
         edited = [half_edited(t, o) for t, o in zip(texts, others, strict=True)]
         n = len(texts)
-        apart = [i for i in range(n) if i + 1 == n or others[i] is not texts[i + 1]]
+        apart = [i for i in range(n) if not i or others[i] is not texts[i - 1]]  # rows come from the last id to the first
         made = fingerprint_texts(pa.array([*texts, *edited, *(others[i] for i in apart)], pa.large_string()), bits)
-        own, new, after = made[:n], made[n : 2 * n], made[1 : n + 1]
+        own, new, after = made[:n], made[n : 2 * n], made[-1:] + made[: n - 1]
         for i, f in zip(apart, made[2 * n :], strict=True):
             after[i] = f
         columns = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([f.hex() for f in own]), pa.array([f.hex() for f in new])]

@@ -31,6 +31,37 @@ def test_next_documents(spark, docs, parts):
     assert prints[5] == prints[1] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_votes_and_likeness(docs):
+    """Every bit by a loop over the terms, and both likeness columns by the fingerprints of the texts they compare."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sluice.llm._text import hash_words, mix, shingle_hashes, text_buffer
+
+    def print_of(t):
+        data, offsets = text_buffer(pa.array([t]))
+        words = hash_words(data, offsets).h
+        times = Counter(shingle_hashes(words, fingerprints.SHINGLE).tolist()) if len(words) else {}
+        bits = [0] * 256
+        for term, n in times.items():
+            lanes = b"".join(int(mix(np.array([term], np.uint64) ^ lane)[0]).to_bytes(8, "little") for lane in fingerprints._LANES[:4])
+            for k in range(256):
+                bits[k] += (1 + math.floor(math.log2(n))) * (1 if lanes[k // 8] >> (7 - k % 8) & 1 else -1)
+        return int("".join("1" if b > 0 else "0" for b in bits), 2).to_bytes(32)
+
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null and doc_id <> 9").collect()))
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs.where("doc_id is not null and doc_id <> 9")).collect()}
+    for k, (i, t) in enumerate(rows):
+        other = rows[(k + 1) % len(rows)][1]
+        edited = fingerprints.half_edited(t, other)
+        a, b, c = print_of(t), print_of(edited), print_of(other)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (a.hex(), b.hex())
+        assert got[i]["near_edited"] == fingerprints.likeness(a, b) and got[i]["near_next"] == fingerprints.likeness(a, c)
+
+
 def test_no_documents(docs):
     assert fingerprints.edited_likeness(docs.limit(0)).collect() == []
 
