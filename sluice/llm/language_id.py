@@ -223,8 +223,10 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     `und` with score 0 where the text is null or has no letter, or no language was
     learned.  Ties go to the first language by name.  The score is the share of the
-    language's likelihood, tempered, among all.  No shuffle; the model has at most
-    64**4 entries, whatever the corpus.
+    language's likelihood, tempered, among all.  Rows that repeat an id are predicted one
+    by one; a very long text is read in pieces; an empty table gives no row.  Columns of
+    `keep` called lang_pred or score are replaced.  No shuffle; the model has two tables of
+    64**3 numbers a language, and as many rows a language as its sample has strings of four.
     """
     keep = [id_col] if keep is None else keep
     bounded_batches(docs.sparkSession)

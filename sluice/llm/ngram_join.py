@@ -496,6 +496,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, threshold: Fraction = Fra
     Texts are null, empty or without words: no n-gram, linked with nothing.  Fewer than
     n words: one n-gram, the whole sequence.  Equal sets are linked.  Rows that repeat an
     id are documents of their own with that number; rows without an id link with nothing
-    and have no component.  An empty table gives no row; other columns are left out.
+    and have no component.  Ids are whole numbers; any other id is an error.  An empty
+    table gives no row; other columns are left out, whatever their names.  A very long
+    text is one set like any other, held in one task.
     """
     return _Join(docs, n, threshold, fold, id_col, text_col).run()

@@ -344,9 +344,13 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
 
     A null or empty text, or one without any of the terms, is the constant term alone and
     has the score of its neighbours' votes like any other.  Rows that repeat an id are
-    scored one by one.  No shuffle; the model is bounded by its sample.
+    scored one by one; ids may be of any type.  Of a very long text, all terms count.  All
+    examples as near as the last neighbour share its votes.  An empty table gives no row;
+    other columns are left out, whatever their names.  No shuffle; the model is bounded by
+    its sample.
     """
     bounded_batches(docs.sparkSession)
+    whole = model.names.dtype.kind in "iuf"  # ids of the examples; of any other type they are told as text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +374,11 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str
                         ids, cosines = m.index.nearest(t, w, NEIGHBOURS)
                         if len(known) > 20_000:
                             known.clear()
-                        known[same] = m.score(m.vote(ids, cosines)), [{"id": int(m.names[e]), "cosine": float(c)} for e, c in zip(ids[:3], cosines[:3], strict=True)]
+                        known[same] = m.score(m.vote(ids, cosines)), [{"id": int(m.names[e]) if whole else str(m.names[e]), "cosine": float(c)} for e, c in zip(ids[:3], cosines[:3], strict=True)]
                     s, e = known[same]
                     scores.append(s)
                     evidence.append(e)
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
+            kind = pa.list_(pa.struct([("id", pa.int64() if whole else pa.string()), ("cosine", pa.float64())]))
             yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, evidence array<struct<id: long, cosine: double>>")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, evidence array<struct<id: {'long' if whole else 'string'}, cosine: double>>")
