@@ -96,6 +96,12 @@ def macro_f1(rows: DataFrame, labels: list[str]) -> DataFrame:
     return accuracy.join(c.agg(F.avg(f1).alias("macro_f1")))
 
 
+def bakeoff(rows: DataFrame, scored: DataFrame, labels: list[str], threshold: float = 0.9, clean: str = "clean") -> DataFrame:
+    """(accuracy, macro_f1, fp_rate, recall): labels of the best class, and blocking where the best blocked class reaches the threshold."""
+    return macro_f1(rows, labels).join(sweep(scored, (threshold,), clean).select("fp_rate", "recall"))
+
+
+#: Names and rounding of the figures are a file format.
 def baseline(measured: dict, categories: list[str]) -> dict:
     """What a gate holds later results against: observed figures, a ceiling and floors."""
     recall = {c: measured[f"recall_{c.replace('-', '_')}"] for c in categories}

@@ -55,12 +55,14 @@ class TextModel:
 
 
 def content_id(weights: bytes, meta: dict, trees: bytes = b"") -> str:
-    """Sixteen digits that name a model by its contents, the version in `meta` left out."""
-    plain = json.dumps({k: v for k, v in meta.items() if k != "version"}, sort_keys=True, separators=(",", ":")).encode()
-    digest = hashlib.sha256()
-    for part in (weights, plain, trees):
-        digest.update(struct.pack("<Q", len(part)) + part)
-    return digest.hexdigest()[:16]
+    """Sixteen digits that name a model by its contents, the version in `meta` left out.
+
+    Fixed values, as devices compute them too: JSON with sorted keys and no blanks; eight
+    bytes of length, the highest first, before each part; SHA-256.
+    """
+    described = json.dumps({k: v for k, v in meta.items() if k != "version"}, sort_keys=True, separators=(",", ":")).encode()
+    framed = b"".join(struct.pack(">Q", len(part)) + part for part in (weights, described, trees))
+    return hashlib.sha256(framed).hexdigest()[:16]
 
 
 def model_megabytes(n_classes: int, dims: int) -> float:
@@ -131,6 +133,23 @@ class Trees:
                 out[:, k] += table[at, 4]
         return out
 
+    def save(self) -> bytes:
+        """JSON; numbers as they are, so that a loaded model gives the same scores."""
+        return json.dumps({"classes": self.classes, "baseline": self.baseline, "trees": self.rounds}, separators=(",", ":")).encode()
+
+    @classmethod
+    def load(cls, data: bytes) -> Trees:
+        found = json.loads(data)
+        return cls(found["classes"], found["baseline"], [[[tuple(n) for n in nodes] for nodes in trees] for trees in found["trees"]])
+
+    def exported(self, x: np.ndarray, expected: np.ndarray | None = None, most: float = 1e-6) -> bytes:
+        """`save`, held against expected probabilities (its own, if none are given) on the rows of `x`: what is loaded must give them."""
+        data = self.save()
+        apart = float(np.abs(Trees.load(data).probabilities(x) - (self.probabilities(x) if expected is None else expected)).max(initial=0.0))
+        if not apart < most:
+            raise ValueError(f"exported trees are {apart} from the model")
+        return data
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = self.raw(x)
         e = np.exp(z - z.max(1, keepdims=True))
@@ -164,29 +183,49 @@ def train_trees(df: DataFrame, classes: list[str], inputs: list[str], label: str
     index = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col(label)) - 1
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(with_class_weights(df, label).withColumn("y", index.cast("double")))
     m = RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    rounds = []
-    for t in m.trees:
-        per_class: list[list[tuple]] = [[] for _ in classes]
-
-        def visit(node, nodes, k):
-            i = len(nodes)
-            nodes.append(None)
-            if node.numDescendants() == 0:
-                stats = list(node.impurityStats().stats())
-                nodes[i] = (0, 0.0, 0, 0, stats[k] / max(sum(stats), 1e-12), True, False)
-            else:
-                split = node.split()
-                left = visit(node.leftChild(), nodes, k)
-                right = visit(node.rightChild(), nodes, k)
-                nodes[i] = (split.featureIndex(), split.threshold(), left, right, 0.0, False, True)
-            return i
-
-        for k in range(len(classes)):
-            visit(t._java_obj.rootNode(), per_class[k], k)
-        rounds.append(per_class)
+    share = lambda k: lambda n: (stats := list(n.impurityStats().stats()))[k] / max(sum(stats), 1e-12)
+    rounds = [[_nodes(t, share(k)) for k in range(len(classes))] for t in m.trees]
     return Trees(classes, [0.0] * len(classes), rounds), m
 
 
+def _nodes(tree, leaf) -> list[tuple]:
+    """The nodes of one of Spark's trees in the form of `Trees`; `leaf(node)` is what a leaf adds."""
+    nodes: list[tuple] = []
+
+    def visit(node) -> int:
+        i = len(nodes)
+        nodes.append(())
+        if node.numDescendants() == 0:
+            nodes[i] = (0, 0.0, 0, 0, leaf(node), True, False)
+        else:
+            split = node.split()
+            left, right = visit(node.leftChild()), visit(node.rightChild())
+            nodes[i] = (split.featureIndex(), split.threshold(), left, right, 0.0, False, True)
+        return i
+
+    visit(tree._java_obj.rootNode())
+    return nodes
+
+
+def train_boosted(df: DataFrame, classes: list[str], inputs: list[str], label: str = "label", rounds: int = 20, depth: int = 6, rate: float = 0.08, seed: int = 0) -> tuple[Trees, list]:
+    """Boosted trees for several classes, one class against the rest at a time, in the form of `Trees`; and Spark's models.
+
+    A class's score is the log odds that its own trees give; probabilities are their softmax.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(with_class_weights(df, label))
+    models, found = [], []
+    for c in classes:
+        own = rows.withColumn("y", (F.col(label) == c).cast("double"))
+        m = GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(own)
+        models.append(m)
+        # Spark's margin is half the log odds
+        found.append([_nodes(t, lambda n, w=w: 2 * w * n.prediction()) for t, w in zip(m.trees, m.treeWeights, strict=True)])
+    return Trees(classes, [0.0] * len(classes), [list(trees) for trees in zip(*found, strict=True)]), models
+
+
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 0) -> DataFrame:
     """`df` with fold 1..k, even within each label, in hash order; a label may hold most rows, as places are counted over all labels."""
     from sluice.operators.corpus import hash_order

@@ -23,9 +23,8 @@ def session(name: str = "sluice", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder of spark.checkpoint.dir and read back, so that its lineage ends there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in that of spark.checkpoint.dir."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +33,11 @@ def stored(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="checkpoints")  # only in a session without that setting, as in tests
         sc.setCheckpointDir(shared)
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written to the folder of spark.checkpoint.dir and read back, so that its lineage ends there."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

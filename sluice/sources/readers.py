@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +106,22 @@ def settings(managed: dict | None) -> dict:
     return out
 
 
-def manifest(path: str) -> dict:
-    """The description of a published directory."""
-    return json.loads((Path(path) / "meta.json").read_text(encoding="utf-8"))
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The description of a published directory, on any file system that Spark reads."""
+    return json.loads(spark.read.option("wholetext", True).text(f"{path}/meta.json").first()[0])
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The directory of the current version: all its files are of one generation."""
+    return f"{root}/{spark.read.option('wholetext', True).text(f'{root}/CURRENT').first()[0].strip()}"
+
+
+def labelled_urls(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """(url, label, seq) of a list of URLs that are all of one label."""
+    return lines(spark, path).select(F.trim("value").alias("url"), F.lit(label).alias("label"), "seq").where("url <> ''")
+
+
+def json_union(spark: SparkSession, schema: StructType | str, *patterns: str, strict: bool = True) -> DataFrame:
+    """Records of the files that each pattern names, with origin (which pattern), path and seq, by which they are in order."""
+    found = [json_records(spark, p, schema, strict).select("*", F.lit(i).alias("origin"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq")) for i, p in enumerate(patterns)]
+    return reduce(DataFrame.unionByName, found)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sluice import catalog
+from sluice import catalog, catalog_files  # noqa: F401  adds its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sluice.functions.text import hex64
-from sluice.operators import blocklog, corpus, experiments, lists, lookup, metrics, scoring
+from sluice.operators import blocklog, corpus, experiments, lists, lookup, metrics, records, scoring
 from sluice.plans import compile as plans
 from sluice.plans import policy, sync
 from sluice.sources import readers, remote, writers
@@ -197,6 +197,43 @@ def test_tree_walk():
     assert t.raw(x)[:, 0].tolist() == [2.25, -1.75, 10.25, 2.25, 10.25]
 
 
+def test_boosted_trees_are_sparks(spark):
+    rng = random.Random(5)
+    rows = [(i, x := rng.random(), y := rng.random(), "a" if x < 0.3 else "b" if y < 0.5 else "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label string")
+    trees, fitted = scoring.train_boosted(df, ["a", "b", "c"], ["x", "y"], rounds=4, depth=3, rate=0.3)
+    points = np.array([[r[1], r[2]] for r in rows])
+    p = trees.probabilities(points)
+    assert np.mean([["a", "b", "c"][k] == r[3] for k, r in zip(p.argmax(1), rows, strict=True)]) > 0.95
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    for k, m in enumerate(fitted):  # a class's own share is that of Spark's model
+        own = np.array([r["probability"][1] for r in m.transform(vectors).orderBy("id").collect()])
+        assert np.abs(1 / (1 + np.exp(-trees.raw(points)[:, k])) - own).max() < 1e-6
+    assert scoring.Trees.load(trees.exported(points)).probabilities(points).tolist() == p.tolist()
+    with pytest.raises(ValueError):
+        trees.exported(points, p + 1e-3)
+
+
+def test_frontier_fills_to_its_target(spark):
+    pool = spark.createDataFrame([(label, f"{label}{i}.com", i) for label in "ab" for i in range(8)], "label string, domain string, pos long")
+    tried, kept = [], []
+
+    def read():
+        page = lambda d: (d[0], f"https://{d}/", "", "", "word " * 40)
+        return spark.createDataFrame([(d,) for d in tried], "domain string"), spark.createDataFrame([page(d) for d in kept], "label string, url string, title string, meta string, text string")
+
+    def attempt(chosen):
+        for r in chosen.collect():
+            tried.append(r["domain"])
+            if r["label"] == "a" or r["pos"] > 6:  # most of b fail
+                kept.append(r["domain"])
+
+    assert records.fill(pool, read, attempt, target=3, batch=2) == 4
+    assert sorted(kept) == ["a0.com", "a1.com", "a2.com", "a3.com", "b7.com"] and len(tried) == 12
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "hosts").write_text("# list\n0.0.0.0 A.example.com\nbad line here..\n b.example.com\n")
     assert [r["domain"] for r in readers.domain_list(spark, str(tmp_path / "hosts")).orderBy("seq").collect()] == ["a.example.com", "b.example.com"]

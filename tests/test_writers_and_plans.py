@@ -22,7 +22,7 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     writers.commit(spark, str(tmp_path / "pub"), "v1", {"a": 1})
     writers.commit(spark, str(tmp_path / "pub"), "v2", {"a": 2})
-    assert (tmp_path / "pub" / "CURRENT").read_text() == "v2" and readers.manifest(str(tmp_path / "pub" / "v1")) == {"a": 1, "version": "v1"}
+    assert (tmp_path / "pub" / "CURRENT").read_text() == "v2" and readers.manifest(spark, str(tmp_path / "pub" / "v1")) == {"a": 1, "version": "v1"}
     events = spark.createDataFrame([(1, 1, 'q"x', "games", "list"), (2, 2, "b", "games", "list")], "t long, seq long, domain string, category string, source string")
     writers.report_csv(events, str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv" / "domain").glob("*.csv"))
