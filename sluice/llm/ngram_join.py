@@ -195,21 +195,26 @@ class Order:
         return s[order], count[order]
 
 
+def _places(threshold: Threshold) -> np.ndarray:
+    """PLACES as the upper halves of hashes; the last one is beyond all."""
+    return np.array([int(min(1.0, x * float(1 - threshold.t)) * (1 << 32)) for x in PLACES] + [1 << 32], np.int64)
+
+
 def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
-    """(gram, part, sig, size, pos) of the prefix of each set, once per task and set.
+    """(gram, part, sig, size, pos, reach) of the prefix of each set, once per task and set; reach is the number of places that the whole prefix reaches.
 
     The list of an n-gram that is known in more than `longest` sets is in parts, by
     signature; where it is whole, part is -1, or -2 if the n-gram is a frequent one.
     """
 
     def batch(rows):
-        grams, parts, sigs, sizes, pos = rows
-        return pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos))], ["gram", "part", "sig", "size", "pos"])
+        grams, parts, sigs, sizes, pos, reach = rows
+        return pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(sigs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(reach))], ["gram", "part", "sig", "size", "pos", "reach"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = Order(*order.value)
+        rare, places = Order(*order.value), _places(threshold)
         seen: set[bytes] = set()
-        rows, held = ([], [], [], [], []), 0
+        rows, held = ([], [], [], [], [], []), 0
         for b in batches:
             for s in gram_sets(b.column("text"), n, fold):
                 if not len(s) or (sig := signature(s)) in seen:
@@ -223,10 +228,12 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
                 rows[2].extend([sig] * k)
                 rows[3].append(np.full(k, len(s), np.int32))
                 rows[4].append(np.arange(k, dtype=np.int32))
+                last = int(grams[-1]) >> 32 if not counts[-1] else 1 << 32  # frequent n-grams come after all places
+                rows[5].append(np.full(k, np.searchsorted(places, last, "right"), np.int8))
                 held += k
                 if held > 1 << 16:
                     yield batch(rows)
-                    rows, held = ([], [], [], [], []), 0
+                    rows, held = ([], [], [], [], [], []), 0
         if held:
             yield batch(rows)
 
@@ -317,7 +324,7 @@ class _Join:
     def postings(self) -> DataFrame:
         """Entries of the lists of prefix n-grams that more than one set has."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = self.docs.where("doc_id is not null").mapInArrow(trimmed(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST)), "gram long, part int, sig binary, size int, pos int")
+        found = self.docs.where("doc_id is not null").mapInArrow(trimmed(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST)), "gram long, part int, sig binary, size int, pos int, reach byte")
 
         def shared(batches):
             # Rows come sorted: one whose neighbours have another gram is alone, and a repeated (gram, sig) is a copy.
@@ -343,7 +350,7 @@ class _Join:
             if last is not None and last_shared:
                 yield last
 
-        lists = found.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "sig").mapInArrow(shared, "gram long, part int, sig binary, size int, pos int")
+        lists = found.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "sig").mapInArrow(shared, "gram long, part int, sig binary, size int, pos int, reach byte")
         # An n-gram that no other prefix has is in no other set before a shared one: of those before it, only shared ones can be common.
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
@@ -420,58 +427,76 @@ class _Join:
         """Entries of the lists that hold more than one component."""
         return rooted.join(rooted.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*key), list(key), "left_semi")
 
-    def rounds(self, lists: DataFrame, lacks: DataFrame) -> DataFrame:
-        """(node, root) of the components that links of neighbours in lists make."""
+    def likely(self, lists: DataFrame, lacks: DataFrame) -> DataFrame:
+        """Entries of the lists that a linked pair can share, with short: whether the set can be the shorter one there.
+
+        All sets of a list reach the least place that one of them does, so what each has
+        up to there and the others lack is known.  A shorter set must have enough left for one as
+        long, and few enough n-grams before this one; the longer ones are bounded by it.
+        """
+        p, q = self.threshold.t.numerator, self.threshold.t.denominator
+        each = lists.join(lacks.select("sig", "lacks"), "sig").join(lists.groupBy("gram").agg(F.min("reach").cast("int").alias("least")), "gram")
+        short = F.expr(f"(size - greatest(pos, if(least > 0, lacks[least - 1], 0))) * {p + q} >= {2 * p} * size")
+        each = each.select("gram", "part", "sig", "size", "pos", "rank", short.alias("short"))
+        bounds = each.where("short").groupBy("gram").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("many"))
+        kept = each.join(bounds, "gram").where(f"size >= low and size * {p} <= high * {q}")
+        return kept.select("gram", "part", "sig", "size", "pos", "rank", "short")
+
+    def round(self, entries: DataFrame, roots: DataFrame | None, lacks: DataFrame, number: int) -> DataFrame:
+        """Links between neighbours in lists, across the components so far."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        bits = self.nodes.select("sig", "bits")
-        roots, number = None, 0
-        while True:
-            entries = lists.where(F.col("rank") < (MORE_LISTS if number else LISTS)).select("gram", "part", "sig", "size")
-            entries = self.rooted(entries, roots)
-            if number:
-                entries = self.mixed(entries, "gram", "part")
-            entries = entries.join(bits, "sig").withColumn("place", F.xxhash64("sig", F.lit(number)))
-            # Sizes in bands, as those of linked sets are close; neighbours within a band change from round to round.
-            entries = entries.withColumn("band", F.expr(f"int(floor(log2(size) * 4 + {number % 2} / 2))") if number else F.col("size"))
-            near = entries.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "band", "place").select("gram", "part", "sig", "size", "root", "bits")
-            found = self.links(near.mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct(), lacks)
-            many = found.count()
-            edges = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-            if many or roots is None:
-                before, roots = roots, components(edges)
-                discard(*([before] if before is not None else []))
-            discard(found)
-            number += 1
-            if many < WORTH_A_ROUND:
-                return roots
+        entries = self.rooted(entries.select("gram", "part", "sig", "size"), roots)
+        if number:
+            entries = self.mixed(entries, "gram", "part")
+        # Sizes in bands, as those of linked sets are close; neighbours within a band change from round to round.
+        band = F.expr(f"int(floor(log2(size) * 4 + {number % 2} / 2))") if number else F.col("size")
+        entries = entries.join(self.nodes.select("sig", "bits"), "sig").withColumn("place", F.xxhash64("sig", F.lit(number))).withColumn("band", band)
+        near = entries.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "band", "place").select("gram", "part", "sig", "size", "root", "bits")
+        return self.links(near.mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct(), lacks)
+
+    def merged(self, roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(node, root) with more links; what held the roots and the links before is deleted."""
+        if roots is None:
+            out = components(links)
+        elif not links.limit(1).count():
+            out = roots
+        else:
+            out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+            discard(roots)
+        discard(links)
+        return out
 
     def lacks(self, lists: DataFrame) -> DataFrame:
-        """(sig, reach, lacks): of each set, how many of PLACES its prefix surely reaches, and the n-grams up to each that no other prefix has.
+        """(sig, reach, lacks): of each set, how many of PLACES its prefix reaches, and the n-grams up to each that no other prefix has.
 
-        Its shared n-grams tell both: as many as stand before one without being shared
-        are lacked.  Frequent n-grams come after all places.
+        Its shared n-grams tell: as many as stand before one without being shared are lacked.
         """
-        cuts = [min(1.0, x * float(1 - self.threshold.t)) for x in PLACES] + [1.0]
-        at = F.shiftrightunsigned("gram", 32)
-        cut = [int(c * (1 << 32)) for c in cuts]
-        plain = F.col("part") == -1
-        counted = [F.coalesce(F.max(F.when(plain & (at < c), F.col("pos") - F.col("rank"))), F.lit(0)).alias(f"u{i}") for i, c in enumerate(cut)]
-        far = F.max(F.when(plain, at).otherwise(1 << 32)).alias("far")
-        found = lists.groupBy("sig").agg(far, *counted)
-        reach = sum((F.col("far") >= c).cast("int") for c in cut)
-        return found.select("sig", reach.alias("reach"), F.array(*[f"u{i}" for i in range(len(cut))]).alias("lacks"))
+        at, plain = F.shiftrightunsigned("gram", 32), F.col("part") == -1
+        places = _places(self.threshold).tolist()
+        counted = [F.coalesce(F.max(F.when(plain & (at < c), F.col("pos") - F.col("rank"))), F.lit(0)).alias(f"u{i}") for i, c in enumerate(places)]
+        found = lists.groupBy("sig").agg(F.max("reach").cast("int").alias("reach"), *counted)
+        return found.select("sig", "reach", F.array(*[f"u{i}" for i in range(len(places))]).alias("lacks"))
 
     def run(self) -> DataFrame:
         lists = stored(self.postings())
         lacks = stored(self.lacks(lists))
-        roots = self.rounds(lists, lacks)
+        roots, number, many = None, 0, WORTH_A_ROUND
+        entries = lists.where(F.col("rank") < LISTS)
+        while many >= WORTH_A_ROUND:
+            found = self.round(entries, roots, lacks, number)
+            many = found.count()
+            roots = self.merged(roots, found)
+            if not number:
+                likely = stored(self.likely(lists, lacks))
+                discard(lists)
+                entries = likely.where(F.col("rank") < MORE_LISTS)
+            number += 1
         # What is left: pairs in one list, but in different components.
-        rest = self.mixed(self.rooted(lists, roots), "gram").join(lacks, "sig").join(self.nodes.select("sig", "bits"), "sig")
-        rest = stored(rest.select("gram", "sig", "root", "size", "pos", "reach", "lacks", "bits"))
+        rest = self.mixed(self.rooted(likely, roots), "gram").join(lacks, "sig").join(self.nodes.select("sig", "bits"), "sig")
+        rest = stored(rest.select("gram", "sig", "root", "size", "pos", "short", "reach", "lacks", "bits"))
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
         # The shorter is x; equal lengths by signature. It has a common n-gram among the first that it could lack with a set as long, and one more.
-        x = rest.where(f"(size - pos) * {p + q} >= {2 * p} * size").alias("x")
-        y = rest.alias("y")
+        x, y = rest.where("short").alias("x"), rest.alias("y")
         size = f"(x.size < y.size or (x.size = y.size and x.sig < y.sig)) and x.size * {q} >= y.size * {p}"
         # For the first common n-gram, all overlap is to come.
         place = f"least(x.size - x.pos, y.size - y.pos) * {p + q} >= {p} * (x.size + y.size)"
@@ -479,9 +504,8 @@ class _Join:
         alike = self.alike("x.bits", "y.bits", "x.size", "y.size")
         pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {enough} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         last = self.links(pairs, lacks)
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last)
-        final = components(edges) if last.limit(1).count() else roots
-        discard(lists, lacks, rest, last, *([roots] if final is not roots else []))
+        final = self.merged(roots, last)
+        discard(likely, lacks, rest)
         named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", "doc", F.coalesce("root", self.nodes["node"]).alias("component_id"))
         if self.repeated:  # the least document, as nodes are not numbered by theirs
             least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
