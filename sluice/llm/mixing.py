@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from math import exp, log, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._store import stored
+from sluice.llm._store import discard, stored
 
 #: Blocks that a block is cut into, as bits.
 BLOCK_BITS = 8
-#: Sources up to which their weights are broadcast (under 100 bytes each); more are joined.
+#: Sources up to which their weights are broadcast (under 100 bytes each); more are joined.  The driver holds one number a source.
 BROADCAST_SOURCES = 50_000
 _NO_SOURCE = "\x00"
 #: Columns that `mix` adds.
@@ -107,38 +107,30 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: flo
     def beside(df: DataFrame, sources: DataFrame) -> DataFrame:
         return df.join(F.broadcast(sources) if len(quota) <= BROADCAST_SOURCES else sources, "__source")
 
-    # (source, full, low): documents of the last epoch whose place is below `low` are drawn; found one digit at a time.
+    # Documents of the last epoch whose place is below a source's cut are drawn; it is found one digit at a time.
     digits = 62 // BLOCK_BITS + 1
     placed = beside(small, plan.where("__part > 0")).withColumn("place", _unit(seed, F.col("__full"))).select("__source", "place", "mix_tokens")
-    known = {s: [0, p] for s, (_, p) in quota.items() if p}  # the digits so far, and what is left of the quota within them
-    open_sources = set(known)
+    known = stored(plan.where("__part > 0").select("__source", F.lit(0).cast("long").alias("head"), F.col("__part").alias("left"), F.lit(False).alias("done")))
     for d in range(digits):
         shift = max(0, 62 - BLOCK_BITS * (d + 1))
         bits = min(BLOCK_BITS, 62 - BLOCK_BITS * d)
-        if not open_sources or bits <= 0:
+        here = known.where(~F.col("done"))
+        if bits <= 0 or not here.limit(1).count():
             break
-        here = spark.createDataFrame([(s, known[s][0]) for s in sorted(open_sources)], "__source string, head long")
-        inside = beside(placed, here).where(F.shiftright("place", shift + bits) == F.col("head"))
-        # At most 2**BLOCK_BITS rows a source.
-        sums = inside.groupBy("__source", F.shiftright("place", shift).alias("block")).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).collect()
-        blocks: dict[str, list] = {s: [] for s in open_sources}
-        for r in sums:
-            blocks[r["__source"]].append((int(r["block"]), int(r["t"]), int(r["n"])))
-        for s in list(open_sources):
-            head, left = known[s]
-            cut = (head + 1) << bits
-            for block, t, n in sorted(blocks[s]):
-                if t > left:
-                    cut = block
-                    break
-                left -= t
-            else:
-                n = 0
-            known[s] = [cut, left]
-            if n <= 1 or not left or shift == 0:
-                known[s] = [cut << shift, left]
-                open_sources.discard(s)
-    cuts = spark.createDataFrame([(s, f, int(known[s][0]) if s in known else 0) for s, (f, _) in quota.items()], "__source string, __full int, __low long")
+        inside = beside(placed, here.select("__source", "head")).where(F.shiftright("place", shift + bits) == F.col("head"))
+        # At most 2**BLOCK_BITS blocks of a source; the first whose running sum is beyond what is left holds the cut.
+        blocks = inside.groupBy("__source", F.shiftright("place", shift).alias("block")).agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n"))
+        upto = blocks.withColumn("upto", F.sum("t").over(Window.partitionBy("__source").orderBy("block"))).join(here.select("__source", "left"), "__source")
+        over = F.col("upto") > F.col("left")
+        found = upto.groupBy("__source").agg(F.min(F.when(over, F.struct("block", "n"))).alias("hit"), F.max(F.when(~over, F.col("upto"))).alias("used"))
+        cut, rest = F.coalesce("hit.block", F.shiftleft(F.col("head") + 1, bits)), F.col("left") - F.coalesce("used", F.lit(0))
+        done = (F.coalesce("hit.n", F.lit(0)) <= 1) | (rest == 0) | F.lit(shift == 0)
+        new = here.join(found, "__source", "left").select("__source", F.when(done, F.shiftleft(cut, shift)).otherwise(cut).alias("head"), rest.alias("left"), done.alias("done"))
+        before, known = known, stored(known.where("done").unionByName(new))
+        discard(before)
+    # The cuts are those of all sources, one row each, in a small table of their own.
+    cuts = stored(plan.join(known.select("__source", F.col("head").alias("__low")), "__source", "left").select("__source", "__full", F.coalesce("__low", F.lit(0)).cast("long").alias("__low")))
+    discard(known)
     drawn = beside(counted, cuts)
     copies = F.col("__full") + (_unit(seed, F.col("__full")) < F.col("__low")).cast("int")
     drawn = drawn.where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
