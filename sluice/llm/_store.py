@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; on a single machine where that is unset, as in tests, a new local one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
         found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             found = tempfile.mkdtemp(prefix="checkpoints")
