@@ -29,9 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
-            shared = tempfile.mkdtemp(prefix="checkpoints")  # only in a session without that setting, as in tests
+            shared = tempfile.mkdtemp(prefix="checkpoints")  # one machine, without that setting, as in tests
         sc.setCheckpointDir(shared)
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 

@@ -61,11 +61,17 @@ class RemoteLines(DataSource):
 
 
 def pages(base: str, params: dict, get: Callable[[str], bytes] | None = None) -> Iterator[dict]:
-    """Answers of a paginated listing: the token `continue` of one is asked for with the next, until there is none."""
+    """Answers of a paginated listing: the token `continue` of one is asked for with the next, until there is none.
+
+    A listing whose first page cannot be had is left out, like any source; one that breaks
+    off later is an error, as what came would pass for the whole.
+    """
     token: dict = {}
     while True:
         body = fetch(f"{base}?{urllib.parse.urlencode(params | token)}", get)
         if body is None:
+            if token:
+                raise OSError(f"{base}: the listing breaks off")
             return
         answer = json.loads(body)
         yield answer

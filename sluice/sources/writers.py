@@ -27,8 +27,11 @@ def write_text(spark: SparkSession, path: str, body: str | bytes) -> None:
     out = fs.create(draft, True)
     out.write(bytearray(data))
     out.close()
-    fs.delete(p, False)
-    fs.rename(draft, p)
+    # in one step: a reader finds the old file or the new one
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(p), options)
 
 
 def rule_chunks(spark: SparkSession, bodies: DataFrame, path: str) -> list[dict]:

@@ -269,6 +269,9 @@ def test_remote_and_sync():
     assert remote.fetch("u", flaky, 0) == b"ok" and remote.fetch("u", lambda u: 1 / 0, 0) is None
     answers = iter([b'{"continue": {"c": "2"}, "n": 1}', b'{"n": 2}'])
     assert [a["n"] for a in remote.pages("b", {}, lambda u: next(answers))] == [1, 2]
+    broken = iter([b'{"n": 1, "continue": {"c": "x"}}', *[None] * 9])
+    with pytest.raises(OSError):
+        list(remote.pages("b", {}, lambda u: next(broken)))
     local = sync.Local("v1", True, 0, {"0": "old", "9": "x"})
     assert sync.sync_state(local, {"version": "v1"}, 5) == "up-to-date"
     assert sync.sync_state(local, {"version": "v2"}, 5) == "throttled" and sync.sync_state(local, {"version": "v2"}, 5, force=True) == "update"
