@@ -35,6 +35,10 @@ from sluice.llm._worker import release
 _U = np.uint64
 #: Bytes of text in a chunk, about.
 CHUNK = 1 << 23
+#: Chunks up to which each has a task of its own; beyond, a task takes several in turn, with about so many bytes of text, as tasks exchange a block with each other one.
+OWN_TASKS, TASK = 256, 1 << 26
+#: Chunks to a hash range, of symbols and of windows: their values take less room than the texts.
+SYMBOL_RANGE, WINDOW_RANGE = 4, 2
 #: Rounds of pairs, and most words that a symbol spans.
 ROUNDS, SPAN = 7, 16
 _SALT = np.random.Generator(np.random.PCG64(4711)).integers(1, 2**64, 64, np.uint64) | _U(1)
@@ -177,8 +181,18 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_order(x: np.ndarray) -> np.ndarray:
+    """Places of pairs in order, by the first halves alone where no two pairs differ in the second only."""
+    a, b = np.ascontiguousarray(x["a"]), np.ascontiguousarray(x["b"])
+    order = np.argsort(a)
+    first, second = a[order], b[order]
+    if ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any():
+        return np.lexsort((b, a))
+    return order
+
+
 def _sorted_pairs(x: np.ndarray) -> np.ndarray:
-    return x[np.lexsort((x["b"], x["a"]))]
+    return x[_pair_order(x)]
 
 
 def _new_pairs(x: np.ndarray, by: int) -> np.ndarray:
@@ -208,43 +222,70 @@ def _within_pairs(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return found
 
 
+def _cells(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary cells with the values between each two places of `cut`, made as one buffer."""
+    at = np.asarray(cut, np.int64) * values.dtype.itemsize
+    if len(at) and at[-1] >= 1 << 31:  # more than one array takes
+        return pa.chunked_array([pa.array([values[i:j].tobytes()], pa.binary()) for i, j in zip(cut[:-1], cut[1:], strict=True)])
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _deal(chunk: int, first: np.ndarray, payload: np.ndarray, buckets: int) -> pa.Table:
     """Values sorted by their first word, cut into ranges of it."""
     # the bucket is the value's share of the 64-bit range
     bucket = ((first >> _U(32)).astype(np.int64) * buckets) >> 32
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     some = np.flatnonzero(cut[1:] > cut[:-1])
-    return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "payload": pa.array([payload[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())})
+    return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "payload": _cells(payload, np.append(cut[some], len(payload)))})
 
 
 def _answer(kind: np.dtype):
-    """For each chunk of a bucket, which of its values occur at least twice over all chunks."""
+    """For each chunk of a bucket, which of its values occur at least twice over all chunks.
+
+    All chunks' values are worked on at once, as a chunk's share gets small where chunks are many.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_pylist()
-        parts = [np.frombuffer(p.as_buffer(), kind) for p in table.column("payload")]
-        x = np.concatenate(parts)
-        if kind.names:
-            x = _sorted_pairs(x)
-            repeated = x[~_new_pairs(x, 1)]
-            kept = [p[_within_pairs(p, repeated)] for p in parts]
-            kept = [p[_new_pairs(p, 1)] for p in kept]  # parts come sorted
-        else:
-            x = np.sort(x)
-            repeated = x[1:][x[1:] == x[:-1]]
-            kept = [np.unique(p[_within(p, repeated)]) for p in parts]
-        some = [i for i, k in enumerate(kept) if len(k)]
-        return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int32()), "payload": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+        x, lengths = _values(table, kind)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        order = _pair_order(x) if kind.names else np.argsort(x)
+        ranked = x[order]
+        same = ~_new_pairs(ranked, 1)[1:] if kind.names else ranked[1:] == ranked[:-1]
+        again = np.zeros(len(x), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        # each value of a chunk once; a chunk's values come sorted
+        again[1:] &= (owner[1:] != owner[:-1]) | (_new_pairs(x, 1)[1:] if kind.names else x[1:] != x[:-1])
+        kept = np.bincount(owner[again], minlength=len(lengths))
+        some = np.flatnonzero(kept)
+        cut = np.concatenate([[0], np.cumsum(kept[some])])
+        return pa.table({"chunk": pa.array(table.column("chunk").to_numpy()[some], pa.int32()), "payload": _cells(x[again], cut)})
 
     return run
 
 
+def _values(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values in all cells of a table, and how many each cell has."""
+    data, offsets = text_buffer(table.column("payload"))
+    return data.view(kind), np.diff(offsets) // kind.itemsize
+
+
 _PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 
 def _heard(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [np.frombuffer(p.as_buffer(), kind) for p in table.column("payload")] if table.num_rows else []
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    return _values(table, kind)[0] if table.num_rows else np.zeros(0, kind)
+
+
+def _sizes(total: int, least: int) -> tuple[int, int, int, int]:
+    """How many chunks, tasks, and hash ranges of symbols and of windows, for so many bytes of text.
+
+    A chunk is bounded, so chunks follow the text; tasks follow it much more slowly,
+    as the blocks of a shuffle are as many as its tasks squared.
+    """
+    chunks = max(least, -(-total // CHUNK))
+    tasks = max(least, min(chunks, max(OWN_TASKS, -(-total // TASK))))
+    return chunks, tasks, max(least, -(-chunks // SYMBOL_RANGE)), max(least, -(-chunks // WINDOW_RANGE))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -264,8 +305,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     keep = [id_col] if keep is None else keep
     # Chunks and hash ranges are as many as the text asks for, so what a task holds does not grow with the corpus.
     # A chunk tells a range at most once, and not without a value in it: no more rows than distinct values.
+    # A task goes through several of them where they are many.
     total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
-    parts = chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CHUNK))
+    chunks, parts, symbol_ranges, window_ranges = _sizes(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept = [(F.lit(None).cast(docs.schema[c].dataType) if c == text_col else docs[c]).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, docs[text_col].cast("string").alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text", *[f"k{i}" for i in range(len(keep))]), F.lit(chunks)).cast("int"))
@@ -276,7 +318,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
         release()
         found = [_twice(g.symbols()[0]) for g in _groups(t, window)]
         x = _twice(np.concatenate([*found, np.zeros(0, np.uint64)]))
-        return _deal(t.column("chunk")[0].as_py(), x, x, chunks)
+        return _deal(t.column("chunk")[0].as_py(), x, x, symbol_ranges)
 
     def tell_windows(t: pa.Table, heard: pa.Table) -> pa.Table:
         repeated = np.sort(_heard(heard, np.dtype(np.uint64)))
@@ -288,7 +330,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 found.append(_pairs(a[at], b[at]))
         x = _twice_pairs(np.concatenate(found))
         chunk = t.column("chunk")[0].as_py() if t.num_rows else 0
-        return _deal(chunk, x["a"], x, chunks)
+        return _deal(chunk, x["a"], x, window_ranges)
 
     def cut(t: pa.Table, heard: pa.Table) -> pa.Table:
         repeated = _sorted_pairs(_heard(heard, _PAIR))

@@ -1,8 +1,11 @@
 import hashlib
 import random
+import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import _graph, fingerprints, ngram_join, substring_dedup
@@ -173,3 +176,37 @@ def test_repeated_passages_go(spark, seed):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_words int")
     got = Counter(map(tuple, substring_dedup.remove_repeats(df, window=35).collect()))
     assert got == repeats(rows, 35)
+
+
+def test_many_chunks_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 2000)
+    monkeypatch.setattr(substring_dedup, "OWN_TASKS", 3, raising=False)
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    passages = [some(45) for _ in range(8)]
+    rows = [(i, " ".join(some(20) + passages[rng.randrange(8)][rng.randrange(11) :] + some(20))) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=35)
+        assert Counter(map(tuple, out.collect())) == repeats(rows, 35)
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # 150 KB are 70 chunks and more; with a task for each, a shuffle would have as many blocks as their square
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan)]
+    assert dealt and max(dealt) <= 3
+
+
+@pytest.mark.parametrize("kind", [np.dtype(np.uint64), substring_dedup._PAIR])
+def test_answers_are_values_of_two_places(kind):
+    rng = np.random.default_rng(5)
+    parts = [np.sort(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    if kind.names:  # second halves tell pairs apart whose first halves agree
+        parts = [np.sort(substring_dedup._pairs(p // np.uint64(9), p % np.uint64(9)), order=["a", "b"]) for p in parts]
+    count = Counter(v for p in parts for v in p.tolist())
+    table = pa.table({"chunk": pa.array(range(30), pa.int32()), "payload": pa.array([p.tobytes() for p in parts], pa.binary())})
+    out = substring_dedup._answer(kind)(table)
+    got = {c: np.frombuffer(v, kind).tolist() for c, v in zip(out.column("chunk").to_pylist(), out.column("payload").to_pylist(), strict=True)}
+    want = {i: sorted({v for v in p.tolist() if count[v] > 1}) for i, p in enumerate(parts)}
+    assert got == {i: v for i, v in want.items() if v}
