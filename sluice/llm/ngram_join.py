@@ -6,6 +6,11 @@ by how many sets hold an n-gram, as far as it is frequent at all, then by hash.
 Frequent n-grams are found by mergeable counters over all documents, with a list
 whose length the total bounds.
 
+The list of a prefix n-gram keeps a set only if another one in it is of a fitting
+size, then only if one passes the positional filter with it, then their bitmaps:
+chance meetings, which grow with the square of the texts, end before more than an
+entry is known of them.
+
 Sets that share a prefix n-gram are brought together, and pass the length filter
 and the positional filter, which bounds the overlap by what precedes and follows
 the shared n-gram in both.  Each set also has a small bitmap of parities: two sets
@@ -52,6 +57,8 @@ FREQUENT = 1 << 22
 BROADCAST_ROWS = 200_000
 #: Sets in the list of an n-gram beyond which it is dealt in parts, as far as its count is known.
 LONGEST_LIST = 1024
+#: Entries by size after one of a list that are looked at for a partner, beyond which all of the list stay; rows from which a list is not gathered.
+PARTNERS, GATHERED = 64, 1 << 15
 #: Bits of a set's bitmap.
 BITMAP = 1024
 #: In the rounds: lists of each set in the first one and in later ones, by rarity; entries before it in a list that a set is held against; those of them that it is verified with.
@@ -240,6 +247,76 @@ def _prefixes(order, threshold: Threshold, n: int, fold: bool, longest: int):
     return run
 
 
+def _with_partner(t: pa.Table, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of lists sorted by size, whether another one in its list has a fitting size, and whether one passes the positional filter, and that of bitmaps where there are some, too.
+
+    Entries of lists in parts, and of long lists as far as they are in doubt, have both.
+    """
+    p, q = threshold.t.numerator, threshold.t.denominator
+    gram, part, size, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("gram", "part", "size", "pos"))
+    bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(gram), -1) if "bits" in t.column_names else None
+    fits = part >= 0
+    passes = fits.copy()
+    cuts = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]), [True]]))
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    i = np.arange(len(gram))
+    for k in range(1, len(gram)):
+        i = i[i + k < end[i]]
+        i = i[size[i] * q >= size[i + k] * p]
+        if not len(i):
+            break
+        if k > PARTNERS:
+            some = np.zeros(len(gram), bool)
+            some[i] = True
+            passes |= np.repeat(np.logical_or.reduceat(some, cuts[:-1]), np.diff(cuts))
+            break
+        j = i + k
+        if k == 1:
+            fits[i] = fits[j] = True
+        doubt = np.flatnonzero(~(passes[i] & passes[j]))
+        x, y = i[doubt], j[doubt]
+        ok = np.minimum(size[x] - pos[x], size[y] - pos[y]) * (p + q) >= p * (size[x] + size[y])
+        x, y = x[ok], y[ok]
+        if bits is not None and len(x):
+            n = size[x] + size[y]
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n - 2 * -(-p * n // (p + q))
+            x, y = x[ok], y[ok]
+        passes[x] = passes[y] = True
+    return fits, passes
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Whole lists, from batches sorted by (gram, part); of lists longer than GATHERED rows, pieces, with True."""
+    held, long = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t, held = pa.concat_tables([held, t]), None
+        key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("gram", "part")])
+        at = 0
+        if long is not None:
+            other = np.flatnonzero((key != long[:, None]).any(0))
+            at = int(other[0]) if len(other) else t.num_rows
+            if at:
+                yield t.slice(0, at), True
+            if at == t.num_rows:
+                continue
+            long = None
+        last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+        last = max(last, at)
+        if last > at:
+            yield t.slice(at, last - at), False
+        if t.num_rows - last > GATHERED:
+            long = key[:, -1]
+            yield t.slice(last), True
+        else:
+            held = t.slice(last)
+    if held is not None:
+        yield held, False
+
+
 def _neighbours(threshold: Threshold):
     """For each entry of a sorted list, the closest by bitmap of those shortly before it in another component, NEIGHBOURS at most."""
     p, q = threshold.t.numerator, threshold.t.denominator
@@ -322,42 +399,55 @@ class _Join:
         self.nodes = nodes.withColumn("node", F.xxhash64("sig") if self.repeated else F.col("doc"))
 
     def postings(self) -> DataFrame:
-        """Entries of the lists of prefix n-grams that more than one set has."""
+        """Entries of the lists of prefix n-grams that sets of fitting sizes have; near: another one passes the positional filter, too."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         found = self.docs.where("doc_id is not null").mapInArrow(trimmed(_prefixes(self.order, self.threshold, self.n, self.fold, LONGEST_LIST)), "gram long, part int, sig binary, size int, pos int, reach byte")
+        threshold = self.threshold
 
         def shared(batches):
-            # Rows come sorted: one whose neighbours have another gram is alone, and a repeated (gram, sig) is a copy.
-            # Lists in parts are long, so no row of theirs is alone.
-            last = None
-            for b in batches:
-                if not b.num_rows:
+            last = None  # of a long list, the row before
+            for t, long in _lists(batches):
+                if not long:
+                    gram = t.column("gram").to_numpy()
+                    same = np.zeros(len(gram) + 1, bool)
+                    same[1:-1] = gram[1:] == gram[:-1]
+                    t = t.filter(pa.array(same[1:] | same[:-1] | (t.column("part").to_numpy() >= 0)))
+                if not t.num_rows:
                     continue
-                t = pa.Table.from_batches([*([last] if last is not None else []), b]).combine_chunks().to_batches()[0]
-                g, s = t.column("gram").to_numpy(), t.column("sig").to_numpy(zero_copy_only=False)
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+                # Rows come sorted: a repeated (gram, sig) is a copy.
+                gram, sig = t.column("gram").to_numpy(), t.column("sig").to_numpy()
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
+                if long:
+                    new[0] = last != (gram[0], sig[0])
+                    last = gram[-1], sig[-1]
                 t = t.filter(pa.array(new))
-                g = t.column("gram").to_numpy()
-                same = np.zeros(len(g), bool)
-                if last is not None:
-                    same[0] = last_shared
-                same[1:] |= g[1:] == g[:-1]
-                before = same | (t.column("part").to_numpy() >= 0)
-                before[:-1] |= g[1:] == g[:-1]
-                last, last_shared = t.slice(len(g) - 1), bool(same[-1]) or t.column("part")[len(g) - 1].as_py() >= 0
-                yield t.slice(0, len(g) - 1).filter(pa.array(before[:-1]))
-            if last is not None and last_shared:
-                yield last
-
-        lists = found.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "sig").mapInArrow(shared, "gram long, part int, sig binary, size int, pos int, reach byte")
-        # An n-gram that no other prefix has is in no other set before a shared one: of those before it, only shared ones can be common.
+                fits, near = (np.ones(t.num_rows, bool),) * 2 if long else _with_partner(t, threshold)
+                t = t.append_column("near", pa.array(near)).filter(pa.array(fits))
+                yield from t.combine_chunks().to_batches()
+
+        lists = found.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "size", "sig").mapInArrow(shared, "gram long, part int, sig binary, size int, pos int, reach byte, near boolean")
+        # An n-gram that no other prefix of a fitting size has is in no set that could be linked before a shared one: of those before it, only shared ones can be common.
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
         lists = lists.withColumn("rank", rank.cast("int"))
         # The n-grams that are the set's own are too many for any other set: the least overlap is with the shortest one.
         return lists.where(F.expr(f"size - (pos - rank) >= ceil({p} * size / {q}D - 1e-9)"))
 
+    def close(self, lists: DataFrame) -> DataFrame:
+        """Entries of the lists that have one whose bitmap does not rule it out."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        threshold = self.threshold
+
+        def run(batches):
+            for t, long in _lists(batches):
+                if not long:
+                    t = t.filter(pa.array(_with_partner(t, threshold)[1]))
+                yield from t.drop_columns("bits").combine_chunks().to_batches()
+
+        near = lists.where("near").drop("near").join(self.nodes.select("sig", "bits"), "sig").select("gram", "part", "sig", "size", "pos", "reach", "rank", "bits")
+        return near.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "size", "sig").mapInArrow(run, "gram long, part int, sig binary, size int, pos int, reach byte, rank int")
+
     def alike(self, bits_a: str, bits_b: str, a: str, b: str, words: int = BITMAP // 64) -> str:
         """SQL: the bitmaps do not rule the pair out; linked sets differ in at most a + b - 2 overlap n-grams."""
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
@@ -370,16 +460,15 @@ class _Join:
         at = f"least({k}{reach}, {other_reach})"
         return f"({k}{size} - if({at} > 0, {k}{lacks}[{at} - 1], 0)) * {p + q} >= {p} * ({k}{size} + {other_size})"
 
-    def links(self, pairs: DataFrame, lacks: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: signatures) whose sets are linked, as nodes."""
-        known = self.nodes.join(lacks, "sig")
         side = lambda k: known.select(F.col("sig").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("node", "bits", "size", "reach", "lacks")])
         enough = " and ".join(self.enough("", f"reach_{k}", f"lacks_{k}", f"size_{k}", f"reach_{m}", f"size_{m}") for k, m in ("ab", "ba"))
         full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{enough} and {self.alike('bits_a', 'bits_b', 'size_a', 'size_b')}"))
         wanted = stored(full.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         ids = wanted.select(F.col("a").alias("doc_id")).union(wanted.select(F.col("b").alias("doc_id"))).distinct()
         if self.repeated:
-            ids = self.nodes.join(ids, F.col("node") == ids["doc_id"], "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+            ids = known.join(ids, F.col("node") == ids["doc_id"], "left_semi").select(F.col("doc").alias("doc_id")).distinct()
         many = ids.count()
         if not many:
             return wanted
@@ -393,7 +482,7 @@ class _Join:
                 columns = [pa.array([f(s) for s in held], pa.binary()) for f in (signature, wide_parities, np.ndarray.tobytes)]
                 yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "sig", "bits", "grams"])
 
-        own = self.nodes.select("sig", F.col("doc").alias("doc_id"), "node")
+        own = known.select("sig", F.col("doc").alias("doc_id"), "node")
         found = chosen.mapInArrow(trimmed(sets), "doc_id long, sig binary, bits binary, grams binary").join(own, ["doc_id", "sig"]).dropDuplicates(["node"])
         found = stored(found.select("node", "bits", F.expr("octet_length(grams) div 8").alias("size"), "grams"))
         threshold = self.threshold
@@ -417,7 +506,7 @@ class _Join:
 
     def rooted(self, df: DataFrame, roots: DataFrame | None) -> DataFrame:
         """`df` (sig) with the component of each set so far."""
-        own = self.nodes.select("sig", "node")
+        own = self.known.select("sig", "node")
         if roots is None:
             return df.join(own.select("sig", F.col("node").alias("root")), "sig")
         return df.join(own.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root")), "sig")
@@ -442,7 +531,7 @@ class _Join:
         kept = each.join(bounds, "gram").where(f"size >= low and size * {p} <= high * {q}")
         return kept.select("gram", "part", "sig", "size", "pos", "rank", "short")
 
-    def round(self, entries: DataFrame, roots: DataFrame | None, lacks: DataFrame, number: int) -> DataFrame:
+    def round(self, entries: DataFrame, roots: DataFrame | None, number: int) -> DataFrame:
         """Links between neighbours in lists, across the components so far."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         entries = self.rooted(entries.select("gram", "part", "sig", "size"), roots)
@@ -450,9 +539,9 @@ class _Join:
             entries = self.mixed(entries, "gram", "part")
         # Sizes in bands, as those of linked sets are close; neighbours within a band change from round to round.
         band = F.expr(f"int(floor(log2(size) * 4 + {number % 2} / 2))") if number else F.col("size")
-        entries = entries.join(self.nodes.select("sig", "bits"), "sig").withColumn("place", F.xxhash64("sig", F.lit(number))).withColumn("band", band)
+        entries = entries.join(self.known.select("sig", "bits"), "sig").withColumn("place", F.xxhash64("sig", F.lit(number))).withColumn("band", band)
         near = entries.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "band", "place").select("gram", "part", "sig", "size", "root", "bits")
-        return self.links(near.mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct(), lacks)
+        return self.links(near.mapInArrow(_neighbours(self.threshold), "a binary, b binary").distinct(), self.known)
 
     def merged(self, roots: DataFrame | None, links: DataFrame) -> DataFrame:
         """(node, root) with more links; what held the roots and the links before is deleted."""
@@ -467,7 +556,7 @@ class _Join:
         return out
 
     def lacks(self, lists: DataFrame) -> DataFrame:
-        """(sig, reach, lacks): of each set, how many of PLACES its prefix reaches, and the n-grams up to each that no other prefix has.
+        """(sig, reach, lacks): of each set, how many of PLACES its prefix reaches, and the n-grams up to each that no other prefix of a fitting size has.
 
         Its shared n-grams tell: as many as stand before one without being shared are lacked.
         """
@@ -479,20 +568,24 @@ class _Join:
 
     def run(self) -> DataFrame:
         lists = stored(self.postings())
-        lacks = stored(self.lacks(lists))
+        close = stored(self.close(lists))
+        # All that is known of the sets that may have links.
+        self.known = stored(self.nodes.join(self.lacks(lists), "sig").join(close.select("sig").distinct(), "sig", "left_semi"))
+        discard(lists)
+        lacks = self.known.select("sig", "reach", "lacks")
         roots, number, many = None, 0, WORTH_A_ROUND
-        entries = lists.where(F.col("rank") < LISTS)
+        entries = close.where(F.col("rank") < LISTS)
         while many >= WORTH_A_ROUND:
-            found = self.round(entries, roots, lacks, number)
+            found = self.round(entries, roots, number)
             many = found.count()
             roots = self.merged(roots, found)
             if not number:
-                likely = stored(self.likely(lists, lacks))
-                discard(lists)
+                likely = stored(self.likely(close, lacks))
+                discard(close)
                 entries = likely.where(F.col("rank") < MORE_LISTS)
             number += 1
         # What is left: pairs in one list, but in different components.
-        rest = self.mixed(self.rooted(likely, roots), "gram").join(lacks, "sig").join(self.nodes.select("sig", "bits"), "sig")
+        rest = self.mixed(self.rooted(likely, roots), "gram").join(self.known.select("sig", "reach", "lacks", "bits"), "sig")
         rest = stored(rest.select("gram", "sig", "root", "size", "pos", "short", "reach", "lacks", "bits"))
         p, q = self.threshold.t.numerator, self.threshold.t.denominator
         # The shorter is x; equal lengths by signature. It has a common n-gram among the first that it could lack with a set as long, and one more.
@@ -503,9 +596,9 @@ class _Join:
         enough = " and ".join(self.enough(f"{k}.", "reach", "lacks", "size", f"{m}.reach", f"{m}.size") for k, m in ("xy", "yx"))
         alike = self.alike("x.bits", "y.bits", "x.size", "y.size")
         pairs = x.join(y, F.expr(f"x.gram = y.gram and x.root <> y.root and {size} and {place} and {enough} and {alike}")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-        last = self.links(pairs, lacks)
+        last = self.links(pairs, self.known)
         final = self.merged(roots, last)
-        discard(likely, lacks, rest)
+        discard(likely, self.known, rest)
         named = self.nodes.join(final, self.nodes["node"] == final["node"], "left").select("sig", "doc", F.coalesce("root", self.nodes["node"]).alias("component_id"))
         if self.repeated:  # the least document, as nodes are not numbered by theirs
             least = named.groupBy("component_id").agg(F.min("doc").alias("least"))

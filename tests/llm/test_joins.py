@@ -118,6 +118,57 @@ def test_groups_of_alike_texts(spark, monkeypatch):
     assert all(at[d] == d for d in range(2000, 2300)) and len({at[d] for d in range(1200, 1500)}) < 30
 
 
+def test_chance_meetings_end_in_their_lists(spark, monkeypatch):
+    """Texts that share a few rare n-grams and nothing else are no entries of the steps after the lists."""
+    entries, likely = [], ngram_join._Join.likely
+    monkeypatch.setattr(ngram_join._Join, "likely", lambda self, lists, lacks: (entries.append(lists.count()), likely(self, lists, lacks))[1])
+    rng = random.Random(8)
+    rows = [(i, [f"w{i}x{k}" for k in range(150)]) for i in range(400)]
+    for i, w in rows:
+        for j in rng.sample(range(400), 4):
+            at = rng.randrange(140)
+            w[at : at + 6] = [f"w{j}x{k}" for k in range(at, at + 6)]
+    rows += [(1000 + i, [*rows[i][1], "end"]) for i in range(10)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = Counter(map(tuple, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, threshold=Fraction(9, 10)).collect()))
+    assert got == components(rows, 3, 9, 10)
+    assert 0 < entries[0] <= 2 * 10 * 17  # the prefixes of the linked ones
+
+
+@pytest.mark.parametrize("partners", [64, 2])
+def test_partners_in_lists(monkeypatch, partners):
+    monkeypatch.setattr(ngram_join, "PARTNERS", partners)
+    monkeypatch.setattr(ngram_join, "GATHERED", 40)
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(200):
+        for _ in range(70 if g == 90 else rng.integers(1, 12)):
+            size = int(rng.integers(20, 60))
+            rows.append((g, 0 if g % 50 == 49 else -1, size, int(rng.integers(0, size // 10 + 1)), rng.integers(-(2**63), 2**63, 16).tolist()))
+            if rng.random() < 0.3:  # the same bitmap, but for little
+                rows.append((g, rows[-1][1], size, rows[-1][3], [rows[-1][4][0] ^ 1, *rows[-1][4][1:]]))
+    rows.sort(key=lambda r: r[:3])
+    t = pa.table({c: pa.array([r[k] for r in rows], y) for k, (c, y) in enumerate([("gram", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("bits", pa.list_(pa.int64()))])})
+    pieces = list(ngram_join._lists(iter(t.to_batches(max_chunksize=13))))
+    assert pa.concat_tables([x for x, _ in pieces]).equals(t.combine_chunks()) or pa.concat_tables([x for x, _ in pieces]).to_pylist() == t.to_pylist()
+    assert {g for x, long in pieces if long for g in x.column("gram").to_pylist()} == {90}
+    whole = [set(x.column("gram").to_pylist()) for x, long in pieces if not long]
+    assert sum(map(len, whole)) == len(set().union(*whole)) == 199
+    t = t.filter(pa.array([r[0] != 90 for r in rows]))
+    rows = t.to_pylist()
+    for table, alike in ((t, True), (t.drop_columns("bits"), False)):
+        fits, passes = ngram_join._with_partner(table, ngram_join.Threshold(Fraction(9, 10)))
+        for i, x in enumerate(rows):
+            others = [y for j, y in enumerate(rows) if j != i and y["gram"] == x["gram"] and 10 * min(x["size"], y["size"]) >= 9 * max(x["size"], y["size"])]
+            assert fits[i] == (x["part"] >= 0 or bool(others))
+            good = False
+            for y in others:
+                n = x["size"] + y["size"]
+                apart = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x["bits"], y["bits"], strict=True))
+                good |= 19 * min(x["size"] - x["pos"], y["size"] - y["pos"]) >= 9 * n and (not alike or apart <= n - 2 * -(-9 * n // 19))
+            assert passes[i] == (x["part"] >= 0 or good) if partners == 64 else passes[i] >= good
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(df).collect() == []
