@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import language_id, mixing, ngram_join, packing, substring_dedup
+from sluice.llm._executors import give_back
 from sluice.llm._store import stored
 
 
@@ -62,12 +63,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def _after_the_last(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun on executors that hold nothing of the one before."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", known_language),
-    ("ngram_jaccard_join", one_of_each_group),
-    ("substring_dedup", without_repeated_passages),
-    ("source_mixing", mixed_sources),
-    ("best_fit_packing", packed),
+    ("language_id", _after_the_last(known_language)),
+    ("ngram_jaccard_join", _after_the_last(one_of_each_group)),
+    ("substring_dedup", _after_the_last(without_repeated_passages)),
+    ("source_mixing", _after_the_last(mixed_sources)),
+    ("best_fit_packing", _after_the_last(packed)),
 ]
 
 #: SQL cannot express the learned language model; the tests hold the stages against brute force.

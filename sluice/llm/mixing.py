@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from math import exp, log, log2
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +103,9 @@ def mix(docs: DataFrame, *, budget: int | None = None, target_entropy_share: flo
         # in whole tokens; what a float falls short of a whole epoch by is no document's loss
         full, part = divmod(round(w[s] * budget), t) if t else (1, 0)
         quota[s] = (full, part)
-    plan = spark.createDataFrame([(s, f, p) for s, (f, p) in quota.items()], "__source string, __full int, __part long")
+    # From Arrow it needs no Python workers, which rows would start on executors, of a kind that no other step uses.
+    columns = [pa.array(list(quota), pa.string()), pa.array([f for f, _ in quota.values()], pa.int32()), pa.array([p for _, p in quota.values()], pa.int64())]
+    plan = spark.createDataFrame(pa.table(columns, ["__source", "__full", "__part"]), "__source string, __full int, __part long")
 
     def beside(df: DataFrame, sources: DataFrame) -> DataFrame:
         return df.join(F.broadcast(sources) if len(quota) <= BROADCAST_SOURCES else sources, "__source")

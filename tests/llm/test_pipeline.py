@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -64,3 +66,27 @@ def test_run(spark, table, tmp_path):
     empty = str(tmp_path / "none")
     spark.read.parquet(f"{table}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_each_stage_begins_with_collected_heaps(spark, table):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, table)
+        assert full() > before, name
+
+
+def test_mixing_starts_no_python_workers(tmp_path):
+    run = """
+import psutil
+from pyspark.sql import SparkSession, functions as F
+from sluice.llm import mixing
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit("a b c").alias("text"))
+assert mixing.mix(docs, target_entropy_share=0.97).count() > 100
+print("workers:", sum("pyspark.daemon" in " ".join(p.cmdline()) for p in psutil.Process().children(recursive=True)))
+"""
+    out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=tmp_path, timeout=300)
+    assert "workers: 0" in out.stdout, out.stdout + out.stderr[-2000:]
