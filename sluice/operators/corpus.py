@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions import near
 from sluice.functions.text import fnv1a32, simhash, whole_document
 from sluice.operators.lookup import checked_broadcast
 from sluice.operators.rank import numbered
@@ -67,9 +70,12 @@ SIGNALS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     ),
     "games": ((), ("free online games", "play free games", "play games online", "browser games", "io games", "multiplayer games", "free flash games")),
 }
-#: Bits by which near-duplicates may differ, and the blocks (first bit, bits) of which two are then equal.
+#: Bits by which near-duplicates may differ; no more than 4.
 NEAR_BITS = 4
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Rows of a group that are decided first, and how many times as many are after each step.
+FIRST, GROWTH = 1 << 14, 8
+#: Ranks of a group that a tile spans, and tasks that pairs of tiles of large groups are dealt to; others to as many as a shuffle has.
+TILE, MOST_TASKS = 1 << 16, 1000
 
 
 def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -113,38 +119,99 @@ def with_contamination(df: DataFrame, clean: str, label: str = "label", text: Co
     return df.withColumn("contamination", F.when(F.col(label) == clean, contamination(blob, signals)))
 
 
-def near_duplicate_edges(df: DataFrame, group_col: str, seq_col: str, hash_col: str) -> DataFrame:
-    """(group, a, b) of rows a before b whose hashes differ in 1 to NEAR_BITS bits; hashes must be distinct in a group."""
-    block = lambda at, n: F.shiftrightunsigned(F.col(hash_col), at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    # A key of about 21 bits for every two of the blocks; the first six bits tell which two.
-    keys = F.array(*[F.lit(i << 32).bitwiseOR(F.shiftleft(block(*x), 11)).bitwiseOR(block(*y)) for i, (x, y) in enumerate(combinations(BLOCKS, 2))])
-    each = df.select(group_col, F.col(seq_col).alias("seq"), F.col(hash_col).alias("h"), F.explode(keys).alias("part"))
-    x, y = each.alias("x"), each.alias("y")
-    near = F.expr(f"x.{group_col} <=> y.{group_col} and x.part = y.part and x.seq < y.seq and bit_count(x.h ^ y.h) <= {NEAR_BITS}")
-    return x.join(y, near).select(F.col(f"x.{group_col}"), F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
+def _tile(rank: str) -> Column:
+    return F.floor(F.col(rank) / F.lit(TILE)).cast("long")
+
+
+def _tile_pairs(left: DataFrame, right: DataFrame, find: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[list[np.ndarray]]], schema: str, tiles: int) -> DataFrame:
+    """What `find` (numbers and hashes of the left, then of the right) gives of every tile of `left` with every tile of `right` that its rows name; both are (g, tile, others, n, h).
+
+    A pair of tiles is the most that a task holds.  It is brought together by both tiles, so no group, nor key of one, is in a task alone.
+    """
+
+    def run(both: pa.Table) -> pa.Table:
+        n, h, own = (both.column(c).to_numpy() for c in ("n", "h", "own"))
+        h = h.view(np.uint64)
+        found = [*find(n[own], h[own], n[~own], h[~own])]
+        names = [x.split()[0] for x in schema.split(", ")]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
+        return pa.table([pa.array(c) for c in columns], names)
+
+    each = lambda df, own: df.select("g", "n", "h", "tile", F.explode("others").alias("other"), F.lit(own).alias("own"))
+    every = each(left, True).withColumnsRenamed({"tile": "a", "other": "b"}).unionByName(each(right, False).withColumnsRenamed({"tile": "b", "other": "a"}))
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, tiles))
+    return every.repartition(tasks, "g", "a", "b").groupBy("g", "a", "b").applyInArrow(run, schema)
+
+
+def near_kept(rows: DataFrame, kept: DataFrame, low: int, high: int) -> DataFrame:
+    """(n) of `rows`, of ranks `low` to `high` in their groups, whose hashes are within NEAR_BITS of one of `kept`, of ranks below `low`; both are (g, n, h, rank, size)."""
+    first, last = F.lit(low // TILE), F.floor((F.least(F.col("size"), F.lit(high)) - 1) / TILE).cast("long")
+    left = rows.withColumns({"tile": _tile("rank"), "others": F.sequence(F.lit(0).cast("long"), F.lit((low - 1) // TILE).cast("long"))})
+    right = kept.where(F.col("size") > low).withColumns({"tile": _tile("rank"), "others": F.sequence(first.cast("long"), last)})
+
+    def find(n, h, _, y):
+        yield [n[near.covered(h, y, NEAR_BITS)]]
+
+    return _tile_pairs(left, right, find, "n long", 4 * ((low - 1) // TILE + 1) * ((high - 1) // TILE - low // TILE + 1)).distinct()
+
+
+def near_duplicate_edges(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b) of rows (g, n, h, rank, size), of ranks `low` to `high` in their groups, a before b, whose hashes differ in up to NEAR_BITS bits."""
+    first, last = F.lit(low // TILE).cast("long"), F.floor((F.least(F.col("size"), F.lit(high)) - 1) / TILE).cast("long")
+    left = rows.withColumn("tile", _tile("rank")).withColumn("others", F.sequence(F.col("tile"), last))
+    right = rows.withColumn("tile", _tile("rank")).withColumn("others", F.sequence(first, F.col("tile")))
+
+    def find(n, x, m, y):
+        for i, j in near.pairs(x, y, NEAR_BITS):
+            before = n[i] < m[j]
+            yield [n[i[before]], m[j[before]]]
+
+    return _tile_pairs(left, right, find, "a long, b long", 4 * ((high - 1) // TILE - low // TILE + 1) ** 2)
+
+
+def _first_of_near(rows: DataFrame, edges: DataFrame, store) -> DataFrame:
+    """`rows` that a pass in order of n keeps.
+
+    In rounds: a row whose earlier neighbours are all dropped is kept, one with a kept
+    earlier neighbour is dropped, until every row is decided.
+    """
+    late = edges.select(F.col("b").alias("n")).distinct().withColumn("late", F.lit(True))
+    state = store(rows.select("n").join(late, "n", "left").select("n", F.when(F.col("late"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
+    while state.where("kept is null").limit(1).count():
+        before = edges.join(state.select(F.col("n").alias("a"), "kept"), "a").groupBy(F.col("b").alias("n")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.max(F.col("kept").isNull()).alias("open"))
+        joined = state.join(before, "n", "left")
+        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("near_kept"), F.lit(False)).when(~F.col("open"), F.lit(True))
+        state = store(joined.select("n", new.alias("kept")))
+    return rows.join(state.where("kept").select("n"), "n", "left_semi")
 
 
 def keep_first_of_near(df: DataFrame, group_col: str, seq_col: str, hash_col: str, store=None) -> DataFrame:
     """The rows that a pass in order of `seq_col` keeps: those not near a row kept before, within a group.
 
-    Rows with equal hashes come down to the first.  Equal pairs of blocks bring all rows
-    within the distance together.  Then in rounds: a row whose earlier neighbours are all dropped is
-    kept, one with a kept earlier neighbour is dropped, until every row is decided.
+    Rows with equal hashes come down to the first.  The first FIRST of each group are decided
+    among themselves, then GROWTH times as many, and so on: rows near one that is kept
+    already leave, and only those left are compared with each other.  So dense places
+    bring few pairs however many rows they have.
     """
     from sluice.plans.session import stored
 
     store = store or stored
     key = F.coalesce(F.col(group_col).cast("string"), F.lit("\x00"))
     first = df.groupBy(key.alias("g"), F.col(hash_col).alias("h")).agg(F.min(seq_col).alias("seq"))
-    first = store(first)
-    edges = store(near_duplicate_edges(first, "g", "seq", "h").select("a", "b"))
-    state = store(first.select("seq").join(edges.select(F.col("b").alias("seq")).distinct().withColumn("late", F.lit(True)), "seq", "left").select("seq", F.when(F.col("late"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("kept")))
-    while state.where("kept is null").limit(1).count():
-        before = edges.join(state.select(F.col("seq").alias("a"), "kept"), "a").groupBy(F.col("b").alias("seq")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.max(F.col("kept").isNull()).alias("open"))
-        joined = state.join(before, "seq", "left")
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("near_kept"), F.lit(False)).when(~F.col("open"), F.lit(True))
-        state = store(joined.select("seq", new.alias("kept")))
-    return df.join(state.where("kept").select(F.col("seq").alias(seq_col)), seq_col, "left_semi")
+    first = store(numbered(first, F.col("g"), F.col("seq")))
+    groups = store(first.groupBy("g").agg(F.min("n").alias("__first"), F.count("*").alias("size")))
+    ranked = first.join(checked_broadcast(groups), "g").select("g", "seq", "h", "n", "size", (F.col("n") - F.col("__first")).alias("rank"))
+    most = groups.agg(F.max("size")).first()[0] or 0
+    low, high, kept = 0, FIRST, None
+    while kept is None or low < most:
+        rows = ranked.where((F.col("rank") >= low) & (F.col("rank") < high))
+        if kept is not None:
+            rows = rows.join(near_kept(rows, kept, low, min(high, most)), "n", "left_anti").select(*ranked.columns)
+        rows = store(rows)
+        new = store(_first_of_near(rows, store(near_duplicate_edges(rows, low, max(low + 1, min(high, most)))), store).select(*ranked.columns))
+        kept = new if kept is None else kept.unionByName(new)
+        low, high = high, high * GROWTH
+    return df.join(kept.select(F.col("seq").alias(seq_col)), seq_col, "left_semi")
 
 
 def without_near_duplicates(df: DataFrame, seq_col: str, group_col: str, text_col: str) -> DataFrame:

@@ -131,3 +131,21 @@ def test_words_of_whole_texts(spark):
     assert text.simhash(df.limit(0), "id", "text").collect() == [] == text.term_vector(df.limit(0), "id", "text").collect()
     sums = {r["id"]: r["s"] for r in text.term_vector(df.where("id > 2 and id <> 1"), "id", "text").groupBy("id").agg(F.sum(F.col("value") ** 2).alias("s")).collect()}
     assert set(sums) == {3, 4, 5, 6, 7, 8} and all(abs(s - 1) < 1e-9 for s in sums.values())
+
+
+def test_near_pairs_as_by_brute_force(monkeypatch):
+    import numpy as np
+
+    from sluice.functions import near
+
+    monkeypatch.setattr(near, "AT_ONCE", 50)
+    rng = np.random.default_rng(1)
+    for centres, n in ((2, 150), (30, 200), (1, 0)):
+        base = rng.integers(0, 2**64, centres, np.uint64)
+        x, y = (rng.choice(base, n) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 4)).astype(np.uint64), axis=1) for _ in range(2))
+        want = np.bitwise_count(x[:, None] ^ y[None, :]) <= 4
+        got = [p for i, j in near.pairs(x, y, 4) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+        assert near.covered(x, y, 4).tolist() == want.any(axis=1).tolist()
+        masks = near.layout(y)
+        assert sum(m.item().bit_count() for m in masks) == 64 and int(np.bitwise_or.reduce(masks)) == 2**64 - 1

@@ -115,6 +115,42 @@ def test_near_duplicates_as_in_one_pass(spark, seed):
     assert {r["seq"] for r in corpus.keep_first_of_near(df, "g", "seq", "h").collect()} == greedy(rows)
 
 
+@pytest.mark.parametrize("first, tile", [(20, 16), (1000, 30)])
+def test_near_duplicates_by_tiles(spark, monkeypatch, first, tile):
+    monkeypatch.setattr(corpus, "FIRST", first)
+    monkeypatch.setattr(corpus, "GROWTH", 3)
+    monkeypatch.setattr(corpus, "TILE", tile)
+    monkeypatch.setattr(corpus, "MOST_TASKS", 4)
+    rng, rows = random.Random(first), []
+    for i in range(300):
+        h = rng.choice([0, 2**63 - 1, -(2**63), 0x5555555555555555])
+        for _ in range(rng.randrange(7)):
+            h ^= 1 << rng.randrange(63)
+        rows.append((rng.choice(["x", "x", "x", "y", None, str(i % 90)]), 1000 - i, h))
+    df = spark.createDataFrame(rows, "g string, seq long, h long")
+    unsigned = [(g, s, h % 2**64) for g, s, h in rows]
+    assert {r["seq"] for r in corpus.keep_first_of_near(df, "g", "seq", "h").collect()} == greedy(unsigned)
+    assert corpus.keep_first_of_near(df.limit(0), "g", "seq", "h").collect() == []
+
+
+def test_near_duplicates_in_a_dense_place_bring_few_pairs(spark, monkeypatch):
+    from sluice.plans.session import stored
+
+    monkeypatch.setattr(corpus, "FIRST", 256, raising=False)
+    rng = random.Random(5)
+    rows = [("x", i, sum(1 << (4 * b) for b in range(15) if h >> b & 1)) for i, h in enumerate(rng.sample(range(1 << 15), 4000))]
+    written = []
+
+    def store(df):
+        out = stored(df)
+        written.append(out.count())
+        return out
+
+    kept = corpus.keep_first_of_near(spark.createDataFrame(rows, "g string, seq long, h long"), "g", "seq", "h", store)
+    assert {r["seq"] for r in kept.collect()} == greedy(rows)
+    assert max(written) < 5 * len(rows)
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i, f"k{i % 37}") for i in range(500)], "i int, key string")
     got = corpus.split_by_key(df, "key", (0.8, 0.1, 0.1)).collect()
