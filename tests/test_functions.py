@@ -149,3 +149,23 @@ def test_near_pairs_as_by_brute_force(monkeypatch):
         assert near.covered(x, y, 4).tolist() == want.any(axis=1).tolist()
         masks = near.layout(y)
         assert sum(m.item().bit_count() for m in masks) == 64 and int(np.bitwise_or.reduce(masks)) == 2**64 - 1
+
+
+def test_pages_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from sluice.plans.session import spread
+
+    rows = spark.range(200).selectExpr("id as page_id", "'https://site.example.com/' as url", "concat('<p>', id) as html")
+    rows.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    one = spark.read.parquet(str(tmp_path / "pages"))
+    found = html.page_features(one).select("page_id", "text", F.spark_partition_id().alias("task")).collect()
+    assert {(r["page_id"], r["text"]) for r in found} == {(i, str(i)) for i in range(200)} and len(found) == 200
+    assert len({r["task"] for r in found}) >= spark.sparkContext.defaultParallelism
+    shuffled = one.repartition(2, "page_id")
+    assert spread(shuffled) is shuffled
+
+
+def test_seals_and_gates_as_by_the_patterns():
+    cases = ["Licensed by x", "LICENSED AND REGULATED", "l\u0131censed by", "L\u0130CENSED BY", "licen\u017fed by", "mga/", "CURA\u00c7AO", "Malta  Gaming", "gaming  licen\u017fe", "must be 18", "mu\u017ft be 21", "AGE GATE", "age-ver\u0131fication", "adults only", "gate", "licensed", "curate"]
+    for t in cases:
+        f = html.extract("https://a.example.com/", f"<p>{t}</p>")
+        assert (f["has_gambling_license_seal"], f["has_age_gate"]) == (bool(html.LICENSE_SEAL.search(" ".join(t.split()))), bool(html.AGE_GATE.search(t))), t
