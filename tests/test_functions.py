@@ -169,3 +169,18 @@ def test_seals_and_gates_as_by_the_patterns():
     for t in cases:
         f = html.extract("https://a.example.com/", f"<p>{t}</p>")
         assert (f["has_gambling_license_seal"], f["has_age_gate"]) == (bool(html.LICENSE_SEAL.search(" ".join(t.split()))), bool(html.AGE_GATE.search(t))), t
+
+
+def test_a_slice_of_pages_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    done, plain = [], html.extract
+    monkeypatch.setattr(html, "extract", lambda u, h: done.append(u) or plain(u, h))
+    pages = [None, "", "<p>x</p>" * 10, *["<a href='/b'>" + "y" * 50_000 + "</a>"] * 40, "z" * 900_000, None, "<i>end</i>"]
+    batch = pa.record_batch([pa.array(range(len(pages))), pa.array([None, *["https://a.example.com/"] * (len(pages) - 1)]), pa.array(pages, pa.string())], ["k", "url", "html"])
+    out, held = [], 0
+    for b in html.features_of_batches(iter([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)])):
+        held = max(held, len(done) - len(out))
+        out += b.to_pylist()
+    assert held < 10 and [r["k"] for r in out] == [*range(1, len(pages)), 0]
+    assert all({n: r[n] for n in want} == want for r in out for want in [plain(r["url"], pages[r["k"]])])
